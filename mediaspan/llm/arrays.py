@@ -88,11 +88,27 @@ def slices(column: pa.Array, blanks: np.ndarray = BLANKS, lower: bool = False) -
 
 def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     """A hash for each ``n`` consecutive entries; empty where there are fewer."""
-    m = len(hashes) - n + 1
-    if m <= 0:
+    if len(hashes) < n or not n:
         return np.zeros(0, _U)
-    out, factor = np.zeros(m, _U), 1
-    for k in range(n):
-        factor = factor * _BASE % (1 << 64)
-        out += hashes[k : k + m] * _U(factor)
-    return mix(out)
+    up, down = _POWERS.upto(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, _U)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[n:] - total[:-n]) * down[: len(hashes) - n + 1] + _U(n))
+
+
+def sliding(values: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
+    """``best`` (minimum or maximum) of each ``n`` consecutive values."""
+    span = 1
+    while span < n:
+        step = min(span, n - span)
+        values = best(values[:-step], values[step:])
+        span += step
+    return values
+
+
+def inside(first: np.ndarray, n: int, total: int) -> np.ndarray:
+    """For each run of ``n`` words in a slice of ``total`` words, whether it lies in one text."""
+    good = np.ones(max(0, total - n + 1), bool)
+    for k in first[1:-1]:
+        good[max(0, k - n + 1) : k] = False
+    return good

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from .chat_format import OP10_SQL, op10_chat_formatting
 from .jaccard_join import op9_ngram_jaccard_join
+from .substring_dedup import op8_substring_dedup
 from .url_filter import OP4_SQL, op4_url_filters
 
-QUERIES = {"op4_url_filters": op4_url_filters, "op9_ngram_jaccard_join": op9_ngram_jaccard_join, "op10_chat_formatting": op10_chat_formatting}
+QUERIES = {
+    "op4_url_filters": op4_url_filters,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_chat_formatting": op10_chat_formatting,
+}
 SQL = {"op4_url_filters": OP4_SQL, "op10_chat_formatting": OP10_SQL}
