@@ -96,6 +96,14 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix((total[n:] - total[:-n]) * down[: len(hashes) - n + 1] + _U(n))
 
 
+def spans(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span ``begin[i]:end[i]`` of entries."""
+    up, down = _POWERS.upto(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, _U)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(_U))
+
+
 def sliding(values: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     """``best`` (minimum or maximum) of each ``n`` consecutive values."""
     span = 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,28 @@ def stash(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class KeyTable:
+    """A bit table of 64-bit hashes, broadcast: says no for sure, yes with some error. Its size has a bound (2**MOST_BITS bits, 16 MB);
+    beyond 2**(MOST_BITS - 4) keys more strangers pass. Callers decide exactly afterwards, so the error costs time, not results.
+    """
+
+    MOST_BITS = 27
+
+    def __init__(self, keys: DataFrame, column: str) -> None:
+        keys = stash(keys.select(F.col(column).cast("long").alias("key")), "keys")
+        self.bits = bits = min(self.MOST_BITS, max(10, (16 * keys.count()).bit_length()))
+        slot = F.shiftrightunsigned("key", 64 - bits)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
+        words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(bit).alias("v")).toArrow()
+        filled = np.zeros(1 << (bits - 6), np.int64)
+        filled[words["w"].to_numpy()] = words["v"].to_numpy()
+        self.table = keys.sparkSession.sparkContext.broadcast(filled.view(np.uint8))
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes >> np.uint64(64 - self.bits)
+        return (self.table.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected ``edges`` (longs): rows (node, component), component being the smallest node.
 

@@ -2,8 +2,9 @@
 
 Of each 16 consecutive 20-word runs the one of least hash is an anchor, so every 35-word window holds an anchor that depends on
 the window's words only: equal windows share it. Anchors that occur once in the corpus are dropped by an exact count. Around each
-remaining anchor the match is extended both ways over all windows that hold it, and windows are compared by a 64-bit hash over the whole corpus;
-the maximal repeats are the unions of windows that occur elsewhere.
+remaining anchor the match is extended both ways over all windows that hold it. Stretches of such windows are cut at window hashes into
+blocks; a block whose words come twice is a repeat as a whole, and the windows of all other blocks are compared one by one with those of all
+distinct blocks. Maximal repeats are the unions of windows that occur elsewhere. Equality is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import Words, inside, mix, runs, sliding, slices
-from .shared import stash
+from .arrays import Words, inside, mix, runs, sliding, slices, spans
+from .shared import KeyTable, stash
 
 LENGTH, SEED = 35, 20
-#: Bits of the largest table of repeated anchors that is broadcast (16 MB). With more anchors it lets more windows pass; the exact count follows either way.
-TABLE_BITS = 27
+#: Blocks have about this many windows.
+BLOCK = 32
 _U = np.uint64
 
 
@@ -65,39 +66,59 @@ def _each(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list]]:
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """tid, starts: the word positions of the windows whose words also start elsewhere. ``docs``: tid (hash of the text), text; equal texts count as one."""
+    """tid, starts: runs (pos, n) of the windows whose words also start elsewhere. ``docs``: tid (hash of the text), text; equal texts count as one."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, _ in _each(parts):
             h, k = np.unique(_anchors(w, length, seed)[2], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(k.astype(np.int64))], ["anchor", "k"])
 
-    spark = docs.sparkSession
-    again = docs.mapInArrow(count, "anchor long, k long").groupBy("anchor").agg(F.sum("k").alias("k")).where("k > 1").select("anchor")
-    again = stash(again, "anchors")
-    bits = min(TABLE_BITS, max(10, (16 * again.count()).bit_length()))
-    slot = F.shiftrightunsigned("anchor", 64 - bits)
-    words = again.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("v")).toArrow()
-    filled = np.zeros(1 << (bits - 6), np.int64)
-    filled[words["w"].to_numpy()] = words["v"].to_numpy()
-    table = spark.sparkContext.broadcast(filled.view(np.uint8))
-
-    def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = table.value
+    again = docs.mapInArrow(count, "anchor long, k long").groupBy("anchor").agg(F.sum("k").alias("k")).where("k > 1")
+    table = KeyTable(again, "anchor")
+
+    def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, tids in _each(parts):
             starts, least, _ = _anchors(w, length, seed)
-            at = least >> _U(64 - bits)
-            hit = (marks[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
-            starts = starts[hit]
+            starts = starts[table.may_hold(least)]
+            if not len(starts):
+                continue
             doc = np.searchsorted(w.first, starts, "right") - 1
-            own = np.array(tids, np.int64)[doc]
-            pos = starts - w.first[doc]
+            hashes = runs(w.hashes, length)[starts]
+            cut = (starts[1:] != starts[:-1] + 1) | (doc[1:] != doc[:-1]) | (hashes[1:] % _U(BLOCK) == 0)
+            begin = np.concatenate([[0], np.flatnonzero(cut) + 1])
+            end = np.concatenate([begin[1:], [len(starts)]])
+            own = np.array(tids, np.int64)[doc[begin]]
+            pos = starts[begin] - w.first[doc[begin]]
             spot = mix(own.astype(_U) + mix(pos.astype(_U)))
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(kind)) for x, kind in ((runs(w.hashes, length)[starts], np.int64), (own, np.int64), (pos, np.int32), (spot, np.int64))], ["window", "tid", "pos", "spot"])
+            edges = np.concatenate([begin, [len(starts)]]).astype(np.int32) * 8
+            content = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(hashes.tobytes())])
+            columns = [pa.array(spans(hashes, begin, end).astype(np.int64)), pa.array(own), pa.array(pos.astype(np.int32)), pa.array((end - begin).astype(np.int32)), pa.array(spot.astype(np.int64)), content]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "tid", "pos", "n", "spot", "windows"])
+
+    found = docs.mapInArrow(blocks, "block long, tid long, pos int, n int, spot long, windows binary")
+    distinct = found.groupBy("block").agg(F.min("spot").alias("a"), F.max("spot").alias("b"), F.first("tid").alias("tid"), F.first("pos").alias("pos"), F.first("windows").alias("windows"))
+    distinct = stash(distinct, "blocks")
+    whole = found.select("block", "tid", "pos", "n").join(distinct.where("a <> b").select("block"), "block", "left_semi").select("tid", "pos", "n")
+
+    def single(parts: Iterator[pa.RecordBatch], among: KeyTable | None) -> Iterator[pa.RecordBatch]:
+        """Windows of distinct blocks, so that each row is another place; those of repeated blocks count as two."""
+        for batch in parts:
+            content = batch.column(3)
+            edges = np.frombuffer(content.buffers()[1], np.int32)[content.offset : content.offset + len(content) + 1] // 8
+            hashes = np.frombuffer(content.buffers()[2], np.int64)[edges[0] : edges[-1]]
+            n = np.diff(edges)
+            tid, pos, k = (np.repeat(batch.column(c).to_numpy(), n) for c in (0, 1, 2))
+            pos = pos + (np.arange(len(hashes)) - np.repeat(edges[:-1] - edges[0], n))
+            kept = among.may_hold(hashes.view(_U)) if among else np.ones(len(hashes), bool)
+            yield pa.RecordBatch.from_arrays([pa.array(x[kept].astype(kind)) for x, kind in ((hashes, np.int64), (tid, np.int64), (pos, np.int32), (k, np.int64))], ["window", "tid", "pos", "k"])
+
+    def exploded(rows: DataFrame, among: KeyTable | None = None) -> DataFrame:
+        return rows.selectExpr("tid", "pos", "if(a = b, 1, 2) as k", "windows").mapInArrow(lambda parts: single(parts, among), "window long, tid long, pos int, k long")
 
-    found = docs.mapInArrow(windows, "window long, tid long, pos int, spot long")
-    twice = found.groupBy("window").agg(F.min("spot").alias("a"), F.max("spot").alias("b")).where("a <> b").select("window")
-    return found.select("window", "tid", "pos").join(twice, "window", "left_semi").groupBy("tid").agg(F.collect_set("pos").alias("starts"))
+    twice = exploded(distinct).groupBy("window").agg(F.sum("k").alias("k")).where("k > 1").select("window")
+    twice = stash(twice, "windows")
+    parts = exploded(distinct.where("a = b"), KeyTable(twice, "window")).drop("k").join(twice, "window", "left_semi").select("tid", "pos", F.lit(1).alias("n"))
+    return whole.union(parts).groupBy("tid").agg(F.collect_set(F.struct("pos", "n")).alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -125,9 +146,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     words = []
                 elif at is not None and len(at):
                     edges = np.zeros(n + 1, np.int32)
-                    at = at.to_numpy()
-                    edges[at] += 1
-                    np.subtract.at(edges, at + length, 1)
+                    pos, many = at.field(0).to_numpy(), at.field(1).to_numpy()
+                    np.add.at(edges, pos, 1)
+                    np.subtract.at(edges, pos + many + (length - 1), 1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(edges[:n]) == 0)]
                 rest = b" ".join(words)
                 for column, x in zip(out, (n, n - len(words), rest, hashlib.sha256(rest).hexdigest())):
