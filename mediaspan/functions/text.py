@@ -27,7 +27,7 @@ def truncate_words(c: Column, most: int) -> Column:
 
 def hashtags(tags: Column) -> Column:
     """Trimmed, ``#`` in front, spaces as ``_``, the first of equals; empty ones go."""
-    tags = F.filter(F.transform(tags, F.trim), lambda t: (t != "") & (t != "#"))
+    tags = F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: (t != "") & (t != "#"))
     return F.array_distinct(F.transform(tags, lambda t: F.translate(F.when(F.startswith(t, F.lit("#")), t).otherwise(F.concat(F.lit("#"), t)), " ", "_")))
 
 
