@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import BLANKS, Words, separators, slices
+from .arrays import BLANKS, Words, mix, separators, slices
 
 #: Labelled documents that the fit reads at most, by the least hash of their id; and words that it keeps at most.
-SAMPLE, VOCABULARY = 20_000, 50_000
+SAMPLE, VOCABULARY = 2_000, 50_000
 #: Tokens of a sentence at most; a longer one is cut there.
 SENTENCE = 48
 #: Score from which a document is called toxic.
@@ -80,7 +80,7 @@ class Field:
         logs = np.add.reduceat(np.log(norm), np.sort(begin)) if n else np.zeros(0)
         return (forward * backward)[:, 1], pairs, logs
 
-    def fit(self, known: np.ndarray, begin: np.ndarray, labels: np.ndarray, rounds: int = 60, rate: float = 0.3, ridge: float = 0.02) -> None:
+    def fit(self, known: np.ndarray, begin: np.ndarray, labels: np.ndarray, rounds: int = 30, rate: float = 0.3, ridge: float = 0.02) -> None:
         """Adam on the penalised log-likelihood of the token labels."""
         n = max(1, int(labels.sum()))
         inner = np.ones(len(known), bool)
@@ -153,10 +153,10 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabula
     hashes = np.concatenate(words) if words else np.zeros(0, _U)
     begin = np.concatenate([np.frombuffer(x, "<i4") + a for x, a in zip(table["begin"].to_pylist(), first)]).astype(np.int64) if words else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(words)), sizes)
-    pair = np.unique(np.stack([doc.astype(_U), hashes]), axis=1)
-    vocab, inverse = np.unique(pair[1], return_inverse=True)
+    once = np.unique(mix(hashes + mix(doc.astype(_U))), return_index=True)[1]  # a word counts once in a document
+    vocab, inverse = np.unique(hashes[once], return_inverse=True)
     bad = toxic == 1
-    in_bad = np.bincount(inverse, bad[pair[0].astype(np.int64)], minlength=len(vocab))
+    in_bad = np.bincount(inverse, bad[doc[once]], minlength=len(vocab))
     in_all = np.bincount(inverse, minlength=len(vocab))
     n_bad, n_all = max(1, int(bad.sum())), max(1, len(bad))
     odds = ((in_bad + 0.5) / (n_bad + 1)) / ((in_all - in_bad + 0.5) / (n_all - n_bad + 1))
