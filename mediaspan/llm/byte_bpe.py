@@ -1,7 +1,7 @@
 """Byte-level BPE: Spark's higher-order functions fold ranked merges over the byte arrays of distinct words.
 
 Each task turns a block of documents into one row: its distinct words as arrays of byte ids, every document as indexes of words, and
-the rank map as a literal hash table of id pairs. The fold runs in the JVM on the row's distinct words; ids of documents are then gathered from the
+the rank map as a literal table of id pairs. The fold runs in the JVM on the row's distinct words; ids of documents are then gathered from the
 folded words, and decoding concatenates the ids' binary pieces. Nothing is shuffled.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,12 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 #: Words of more bytes are merged in the task (the fold takes time in the square of the length).
 LONG_WORD = 256
-#: Slots of the rank map, bits of an id, and multipliers of its two hash functions.
-SLOTS, ID_BITS, HASHES = 1 << 20, 17, ((40503, 2654435), (69069, 1103515))
-NONE = 1 << 50
+#: Slots of the rank map, bits of an id.
+SLOTS, ID_BITS = 1 << 20, 17
+MASK, NONE = (1 << ID_BITS) - 1, 1 << 40
 
 
 class Vocabulary:
@@ -34,30 +35,33 @@ class Vocabulary:
         for piece, rank in self.ranks.items():
             self.pieces[rank] = piece
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
-        self.table = self._table()
+        self.table, self.shift = self._rank_map()
 
-    def _table(self) -> np.ndarray:
-        """Open hash table of the pairs (a, b) whose pieces make a piece: each entry is (a << ID_BITS | b) << ID_BITS | id in one of two slots."""
-        table = [0] * SLOTS
+    def _rank_map(self) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs (a, b) whose pieces make a piece: its id is in slot ``shift[a] + b``, as ``id << ID_BITS | a``.
+
+        One id more than there are pieces marks a word's ends; it makes no pair. Left ids with most partners are placed first, each at the first of a fixed run of random shifts that leaves its slots free.
+        """
+        partners: dict[int, list[tuple[int, int]]] = {}
         for piece, rank in self.ranks.items():
             for k in range(1, len(piece)):
                 a, b = self.ranks.get(piece[:k]), self.ranks.get(piece[k:])
-                if a is None or b is None:
-                    continue
-                entry, turn = (a << ID_BITS | b) << ID_BITS | rank, 0
-                for _ in range(500):
-                    key = entry >> ID_BITS
-                    m, n = HASHES[turn]
-                    at = ((key >> ID_BITS) * m + (key & ((1 << ID_BITS) - 1)) * n) % SLOTS
-                    table[at], entry = entry, table[at]
-                    if not entry:
-                        break
-                    key = entry >> ID_BITS
-                    m, n = HASHES[0]
-                    turn = 1 if ((key >> ID_BITS) * m + (key & ((1 << ID_BITS) - 1)) * n) % SLOTS == at else 0
-                if entry:
-                    raise ValueError("the rank map needs more slots")
-        return np.array(table, np.int64)
+                if a is not None and b is not None:
+                    partners.setdefault(a, []).append((b, rank))
+        if len(self.pieces) >= min(SLOTS, 1 << ID_BITS):
+            raise ValueError("too many ids for the rank map")
+        table, shift = np.full(SLOTS, -1, np.int64), np.zeros(len(self.pieces) + 1, np.int32)
+        shifts = np.random.default_rng(0)
+        for a in sorted(partners, key=lambda a: (-len(partners[a]), a)):
+            b, rank = np.array(partners[a], np.int64).T
+            for _ in range(1000):
+                at = int(shifts.integers(0, SLOTS - len(shift)))
+                if (table[at + b] < 0).all():
+                    break
+            else:
+                raise ValueError("the rank map needs more slots")
+            table[at + b], shift[a] = (rank << ID_BITS) | a, at
+        return table, shift
 
     def merge(self, word: bytes) -> list[int]:
         """Ranked merges of one long word, pair by pair from a heap."""
@@ -81,26 +85,25 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
-def _rank(a: str, b: str, table: str) -> str:
-    """SQL: the id that the pair makes, or NONE. An entry of this pair differs from its key by the id alone."""
-    mask = (1 << ID_BITS) - 1
-    hit = lambda h: f"({table}[int((bigint({a}) * {HASHES[h][0]} + bigint({b}) * {HASHES[h][1]}) % {SLOTS})] - (bigint({a}) * {1 << ID_BITS} + {b}) * {1 << ID_BITS})"
-    return f"case when {hit(0)} between 0 and {mask} then {hit(0)} when {hit(1)} between 0 and {mask} then {hit(1)} else {NONE} end"
+def _pair(a: str, b: str) -> str:
+    """SQL: ``rank << ID_BITS | a`` of the pair (a, b), the rank being NONE if it makes no piece. A slot that another left id took shows that id, an empty one -1."""
+    slot = f"ranks[shift[{a}] + {b}]"
+    return f"if({slot} & {MASK} = {a}, {slot}, {NONE << ID_BITS} + {a})"
 
 
-def folded(words: str = "words", table: str = "ranks") -> Column:
-    """SQL: every array of ids in ``words`` after its ranked merges.
+def folded(end: int) -> Column:
+    """SQL: the arrays of ids in ``words`` after their ranked merges by the rank map in ``ranks`` and ``shift``.
 
-    The state is the ids ``v`` and the rank ``r`` of each neighbouring pair. Each step merges the pair of least rank, the leftmost of equals (place
-    p), and looks up the two pairs that the new id forms.
+    Arrays that need merges begin and end with the id ``end``; the others stay. The state has one number for each id: the rank of its pair with
+    the next id, then the id. Each step takes the least number, the leftmost of equals (place p): it gives way to the new id, whose pairs with
+    both neighbours are looked up.
     """
-    first = f"transform(sequence(0, size(w) - 2), i -> {_rank('w[i]', 'w[i + 1]', table)})"
-    before = f"if(p > 1, concat(slice(s.r, 1, p - 2), array({_rank('s.v[p - 2]', 's.r[p - 1]', table)})), array())"
-    after = f"if(p < size(s.r), concat(array({_rank('s.r[p - 1]', 's.v[p + 1]', table)}), slice(s.r, p + 2, size(s.r))), array())"
-    merged = "concat(slice(s.v, 1, p - 1), array(int(s.r[p - 1])), slice(s.v, p + 2, size(s.v)))"
-    step = f"transform(array(int(array_position(s.r, array_min(s.r)))), p -> if(s.r[p - 1] = {NONE}, named_struct('v', s.v, 'r', cast(array() as array<bigint>)), named_struct('v', {merged}, 'r', concat({before}, {after}))))[0]"
-    fold = f"aggregate(sequence(1, size(w)), named_struct('v', w, 'r', {first}), (s, k) -> if(size(s.r) > 0, {step}, s), s -> s.v)"
-    return F.expr(f"transform({words}, w -> if(size(w) > 1, {fold}, w))")
+    left, new, right = f"int(s[p - 2] & {MASK})", f"int(shiftright(s[p - 1], {ID_BITS}))", f"int(s[p + 1] & {MASK})"
+    merged = f"concat(slice(s, 1, p - 2), array({_pair(left, new)}, {_pair(new, right)}), slice(s, p + 2, size(s)))"
+    step = f"transform(array(int(array_position(s, array_min(s)))), p -> {merged})[0]"
+    first = f"zip_with(w, slice(w, 2, size(w)), (a, b) -> {_pair('a', 'b')})"
+    fold = f"aggregate(sequence(4, size(w)), {first}, (s, k) -> if(array_min(s) < {NONE << ID_BITS}, {step}, s), s -> transform(slice(s, 2, size(s) - 2), x -> int(x & {MASK})))"
+    return F.expr(f"transform(words, w -> if(w[0] = {end}, {fold}, w))")
 
 
 def _lists(values: np.ndarray, edges: list[int] | np.ndarray) -> pa.Array:
@@ -114,7 +117,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
     rows that repeat come back as often; other columns are ignored.
     """
     known = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, end = docs.schema[id_col].dataType.simpleString(), len(vocabulary.pieces)
 
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -136,12 +139,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
                 for word in index:
                     raw = word.encode()
                     rank = voc.ranks.get(raw)
-                    parts_of.append(np.array([rank], np.int32) if rank is not None else np.array(voc.merge(raw), np.int32) if len(raw) > LONG_WORD else voc.bytes[np.frombuffer(raw, np.uint8)])
+                    parts_of.append([rank] if rank is not None else voc.merge(raw) if len(raw) > LONG_WORD else [end, *voc.bytes[np.frombuffer(raw, np.uint8)].tolist(), end])
                     cuts.append(cuts[-1] + len(parts_of[-1]))
-                words = _lists(np.concatenate(parts_of) if parts_of else np.zeros(0, np.int32), cuts)
+                words = _lists(np.fromiter(chain.from_iterable(parts_of), np.int32, cuts[-1]), cuts)
                 one = pa.array([0, at - begin], pa.int32())
-                columns = [pa.ListArray.from_arrays(one, ids.slice(begin, at - begin)), pa.ListArray.from_arrays(one, _lists(np.array(codes, np.int32), edges)), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.ListArray.from_arrays(pa.array([0, SLOTS], pa.int32()), pa.array(voc.table))]
-                yield pa.RecordBatch.from_arrays(columns, ["ids", "codes", "words", "ranks"])
+                columns = [pa.ListArray.from_arrays(one, ids.slice(begin, at - begin)), pa.ListArray.from_arrays(one, _lists(np.array(codes, np.int32), edges)), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), _lists(voc.table, [0, SLOTS]), _lists(voc.shift, [0, len(voc.shift)])]
+                yield pa.RecordBatch.from_arrays(columns, ["ids", "codes", "words", "ranks", "shift"])
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -159,8 +162,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
                     texts = [tokens[a:b].tobytes() for a, b in zip(at[k : k + 512], at[k + 1 : k + 513])]
                     yield pa.RecordBatch.from_arrays([ids.slice(k, len(texts)), pa.array(texts, pa.binary()), pa.array([len(t) // 4 for t in texts], pa.int64())], ["id", "ids", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(blocks, f"ids array<{kind}>, codes array<array<int>>, words array<array<int>>, ranks array<bigint>")
-    rows = rows.select("ids", "codes", folded().alias("words"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(blocks, f"ids array<{kind}>, codes array<array<int>>, words array<array<int>>, ranks array<bigint>, shift array<int>")
+    rows = rows.select("ids", "codes", folded(end).alias("words"))
     return rows.mapInArrow(gather, f"id {kind}, ids binary, n_tokens long").withColumnRenamed("id", id_col)
 
 
