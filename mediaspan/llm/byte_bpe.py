@@ -8,6 +8,7 @@ folded words, and decoding concatenates the ids' binary pieces. Nothing is shuff
 from __future__ import annotations
 
 import base64
+from array import array as numbers
 from collections.abc import Iterator
 from itertools import chain
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Words of more bytes are merged in the task (the fold takes time in the square of the length).
 LONG_WORD = 256
 #: Slots of the rank map, bits of an id.
@@ -110,8 +111,8 @@ def _lists(values: np.ndarray, edges: list[int] | np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.asarray(edges, np.int32)), pa.array(values))
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row: id, ids (binary, little-endian unsigned 32-bit), n_tokens.
+def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
+    """Every row: id, ids (binary, little-endian unsigned 32-bit), n_tokens; with ``check`` also decoded, the ids decoded in the task that made them.
 
     Each match of ``pattern`` is encoded by itself, as a whole if it is a piece; no special tokens. Null texts are empty and empty texts have no ids;
     rows that repeat come back as often; other columns are ignored.
@@ -124,15 +125,16 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
 
         voc, find = known.value, regex.compile(pattern).findall
         for batch in parts:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1)
             at = 0
             while at < len(texts):
                 index: dict[str, int] = {}
-                codes, edges, chars, begin = [], [0], 0, at
+                codes, edges, chars, begin = numbers("i"), [0], 0, at
                 while at < len(texts) and (at == begin or chars < BLOCK_CHARS):
-                    chars += len(texts[at] or "")
-                    found = find(texts[at] or "")
-                    codes.extend([index.setdefault(x, len(index)) for x in found])
+                    text = texts[at].as_py() or ""
+                    chars += len(text)
+                    found = find(text)
+                    codes.extend(index.setdefault(x, len(index)) for x in found)
                     edges.append(len(codes))
                     at += 1
                 parts_of, cuts = [], [0]
@@ -151,20 +153,28 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
             for row in range(batch.num_rows):
                 ids, codes, words = (batch.column(k)[row].values for k in range(3))
                 flat, cuts = words.values.to_numpy(zero_copy_only=False), words.offsets.to_numpy()
-                sequence, edges = codes.values.to_numpy(zero_copy_only=False), codes.offsets.to_numpy()
-                sequence, edges = sequence[edges[0] : edges[-1]], edges - edges[0]  # a list's children and offsets are those of the whole batch
-                width = np.diff(cuts)[sequence] if len(sequence) else np.zeros(0, np.int64)
-                ends = np.concatenate([[0], np.cumsum(width)]).astype(np.int64)
-                inner = np.arange(ends[-1]) - np.repeat(ends[:-1], width)
-                tokens = flat[np.repeat(cuts[:-1][sequence], width) + inner].astype("<u4") if len(sequence) else np.zeros(0, "<u4")
-                at = ends[edges]
-                for k in range(0, len(ids), 512):
-                    texts = [tokens[a:b].tobytes() for a, b in zip(at[k : k + 512], at[k + 1 : k + 513])]
-                    yield pa.RecordBatch.from_arrays([ids.slice(k, len(texts)), pa.array(texts, pa.binary()), pa.array([len(t) // 4 for t in texts], pa.int64())], ["id", "ids", "n_tokens"])
+                sequence, edges, widths = codes.values.to_numpy(zero_copy_only=False), codes.offsets.to_numpy(), np.diff(cuts)
+                for k in range(0, len(ids), 256):
+                    own = edges[k : k + 257]
+                    at = sequence[own[0] : own[-1]]  # a list's children and offsets are those of the whole batch
+                    width = widths[at]
+                    ends = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+                    tokens = flat[np.arange(ends[-1]) + np.repeat(cuts[:-1][at] - ends[:-1], width)].astype("<u4")
+                    ends = ends[own - own[0]]
+                    texts = [tokens[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
+                    columns = [ids.slice(k, len(texts)), pa.array(texts, pa.binary()), pa.array([len(t) // 4 for t in texts], pa.int64())]
+                    if check:
+                        columns.append(pa.array([joined(t, known.value.pieces) for t in texts], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "n_tokens", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(blocks, f"ids array<{kind}>, codes array<array<int>>, words array<array<int>>, ranks array<bigint>, shift array<int>")
     rows = rows.select("ids", "codes", folded(end).alias("words"))
-    return rows.mapInArrow(gather, f"id {kind}, ids binary, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(gather, f"id {kind}, ids binary, n_tokens long" + ", decoded binary" * check).withColumnRenamed("id", id_col)
+
+
+def joined(ids: bytes, pieces: list[bytes]) -> bytes:
+    """The pieces of little-endian ids, one after another."""
+    return b"".join([pieces[k] for k in np.frombuffer(ids, "<u4").tolist()])
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
@@ -174,7 +184,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") ->
     @F.pandas_udf("binary")
     def pieces(column):
         table = known.value
-        return column.map(lambda x: None if x is None else b"".join([table[k] for k in np.frombuffer(x, "<u4").tolist()]))
+        return column.map(lambda x: None if x is None else joined(x, table))
 
     return encoded.withColumn("decoded", pieces(ids_col))
 
@@ -190,5 +200,5 @@ def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     vocabulary, pattern = tokenizer()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode(encode(docs, vocabulary, pattern), vocabulary)
+    out = encode(docs, vocabulary, pattern, check=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
