@@ -12,9 +12,15 @@ from .shared import stash
 LEAF_BYTES, FANOUT = 1 << 14, 16
 
 
+def payload_digest(payload: Column) -> Column:
+    """SHA-256 of a payload; a null one hashes apart from an empty one."""
+    return F.sha2(F.concat(F.when(payload.isNull(), "n").otherwise("v"), F.coalesce(payload, F.lit(""))).cast("binary"), 256)
+
+
 def record_hashes(records: DataFrame) -> DataFrame:
-    """file, offset, record_id, digest of records (file, offset, record_id, payload); a null payload hashes apart from an empty one."""
-    return records.select("file", F.col("offset").cast("long").alias("offset"), "record_id", F.sha2(F.concat(F.when(F.col("payload").isNull(), "n").otherwise("v"), F.coalesce("payload", F.lit(""))).cast("binary"), 256).alias("digest"))
+    """file, offset, record_id, digest of records (file, offset, record_id, and a payload or its digest)."""
+    digest = F.col("digest") if "digest" in records.columns else payload_digest(F.col("payload"))
+    return records.select("file", F.col("offset").cast("long").alias("offset"), "record_id", digest.alias("digest"))
 
 
 def _folded(order: list[str | Column], digest: Column) -> Column:
@@ -64,18 +70,19 @@ def audit(one: DataFrame, two: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout:
     return pairs.withColumn("kind", kind).where("kind is not null")
 
 
-def page_records(pages: DataFrame) -> DataFrame:
-    """Pages as records: a file for each 1024 page ids, offsets by the lengths before in it."""
-    file = F.expr("page_id div 1024")
+def page_records(pages: DataFrame, payload: Column) -> DataFrame:
+    """Pages as hashed records: a file for each 1024 page ids, offsets by the lengths before in it. Texts are hashed before anything is shuffled."""
     size = F.coalesce(F.octet_length("html"), F.lit(0)) + 64
-    before = F.sum(size).over(W.partitionBy(file).orderBy("page_id").rowsBetween(W.unboundedPreceding, -1))
-    return pages.select(file.alias("file"), F.coalesce(before, F.lit(0)).alias("offset"), F.col("page_id").alias("record_id"), F.col("html").alias("payload"))
+    hashed = pages.select(F.expr("page_id div 1024").alias("file"), F.col("page_id").alias("record_id"), size.alias("size"), payload_digest(payload).alias("digest"))
+    before = F.sum("size").over(W.partitionBy("file").orderBy("record_id").rowsBetween(W.unboundedPreceding, -1))
+    return hashed.select("file", F.coalesce(before, F.lit(0)).alias("offset"), "record_id", "digest")
 
 
 def op6_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages against a replica with planted damage (altered when id mod 97 is 13, lost when id mod 211 is 5): record_id, file, kind, byte_offset."""
-    own = page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    replica = own.where("record_id % 211 <> 5").withColumn("payload", F.when(F.expr("record_id % 97 = 13"), F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    own = page_records(pages, F.col("html"))
+    replica = page_records(pages, F.when(F.expr("page_id % 97 = 13"), F.concat("html", F.lit("!"))).otherwise(F.col("html"))).where("record_id % 211 <> 5")
     return audit(own, replica).select("record_id", "file", "kind", F.coalesce("offset_a", "offset_b").alias("byte_offset"))
 
 
