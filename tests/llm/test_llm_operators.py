@@ -124,6 +124,7 @@ def test_bpe_equals_tiktoken(docs):
     vocabulary, pattern = byte_bpe.tokenizer()
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
     out = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, pattern), vocabulary)
+    assert sorted(byte_bpe.encode(docs, vocabulary, pattern, check=True).select("ids", "decoded").collect()) == sorted(out.select("ids", "decoded").collect())
     got = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in out.collect()}
     assert got == {i: (known.encode_ordinary(t or ""), (t or "").encode()) for i, t in texts()}
     for word in ("thtionreheering" * 30, "é" * 200):
