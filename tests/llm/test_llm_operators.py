@@ -158,6 +158,31 @@ def test_decontamination(spark):
     assert {r.doc_id: (r.begin, r.end) for r in found}[1] == (20, 45)
 
 
+def test_decontamination_finds_every_copy(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 60)  # several passes
+    monkeypatch.setattr(decontaminate, "BLOCK", 50, raising=False)
+    items = [prose(24), prose(25), prose(30), "one two"]
+    items += [items[0], None, ""]
+    edited = items[0].split()
+    for k in (3, 8, 13, 18):
+        edited[k] = "other"
+    third = items[2].split()
+    third[::4] = ["gone"] * len(third[::4])
+    common = " ".join(items[1].split()[4:7])
+    texts = [items[0], *[prose(30) + " " + " ".join(edited) + " " + prose(20)] * 7, *[" ".join(third) + " " + items[1]] * 5, *[prose(9) + " " + common + " " + prose(9) for _ in range(30)], None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = decontaminate.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    name, want = {}, {}
+    code = lambda t: np.array([name.setdefault(x, len(name)) for x in (t or "").split()])
+    grams = lambda x: {tuple(x[k : k + 3]) for k in range(len(x) - 2)}
+    for i, text in enumerate(texts):
+        for j, item in enumerate(items):
+            a, b = code(item), code(text)
+            if grams(a) & grams(b) and (points := decontaminate.align(a, b)[0]) >= len(a):
+                want[i, j] = points / (2 * len(a))
+    assert len(want) > 25 and {(r.doc_id, r.item_id): r.score for r in found} == want
+
+
 def test_toxicity_learns(spark):
     rows = [(i, prose(40) + (". idiot fool " if i % 4 == 0 else ". ") + prose(5)) for i in range(400)] + [(900, None), (901, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
