@@ -207,6 +207,30 @@ def test_vectors(spark):
     assert got == {**{k: (int(near[k].sum()), want[k]) for k in range(len(x))}, **{k: (0, k) for k in range(200, 204)}}
 
 
+def test_vectors_of_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD", 60)
+    monkeypatch.setattr(vector_graph, "PASS", 16_000, raising=False)  # several passes
+    rng = np.random.default_rng(8)
+    # 1,800 distinct vectors, nearly all near each other, a chain that leads away from them, pairs and single ones
+    hot = rng.normal(size=32) + rng.normal(size=(1800, 32)) * 0.26
+    turn = np.linspace(0, 1.5, 12)[:, None]
+    pairs = rng.normal(size=(60, 32))
+    x = np.concatenate([rng.normal(size=(500, 32)), hot, hot[:1] * np.cos(turn) + np.linalg.norm(hot[0]) * np.eye(32)[:1] * np.sin(turn), pairs, pairs + rng.normal(size=(60, 32)) * 0.1, hot[:40]])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = vector_graph.near_vectors(rows).cache()
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    want = groups(zip(*(a.tolist() for a in np.nonzero(np.triu(near)))), range(len(x)))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
+    true = near.sum(1)
+    assert true.max() > 1500
+    assert all(n <= true[k] for k, (n, _) in got.items())
+    assert sum(n for n, _ in got.values()) >= 0.999 * true.sum()
+    assert {k: c for k, (_, c) in got.items()} == want
+    assert vector_graph.recall(rows, found) > 0.99
+
+
 def test_audit(spark):
     rows = [(k % 3, k // 3 * 4000, k, f"record {k}") for k in range(90)]
     other = [(f, o + (k == 40), k, p + ("!" if k in (7, 8) else "")) for f, o, k, p in rows if k != 50] + [(9, 0, 999, "new")]
