@@ -284,3 +284,20 @@ def success_payload(spark: SparkSession, d: str) -> DataFrame:
     rows = jobs.decode_jobs(A.jobs(spark, d)).where("valid")
     path = F.concat(F.lit("/out/"), F.col("upload_id"), F.lit(".mp4"))
     return rows.select("o_orderkey", jobs.success_payload(F.lit("READY"), path, F.col("attempts")).alias("payload"), jobs.transition_url(F.lit("http://host/api//"), F.col("upload_id")).alias("url"), jobs.backoff_ms(F.col("attempts")).alias("wait_ms"))
+
+
+# point_in_segment and boundary_asof, like their SQL, take every fifth word as a point. These take every word.
+def _all_points(spark: SparkSession, d: str) -> DataFrame:
+    return A.words(spark, d).selectExpr("media_id", "word_idx as point_id", "start_ms + 175 as at_ms")
+
+
+def point_in_segment_all(spark: SparkSession, d: str) -> DataFrame:
+    return intervals.point_in_segment(_all_points(spark, d), A.segments(spark, d))
+
+
+def boundary_asof_all(spark: SparkSession, d: str) -> DataFrame:
+    segs = A.segments(spark, d)
+    return intervals.boundary_asof(_all_points(spark, d), segs.select("media_id", F.col("start_ms").alias("at_ms")).union(segs.select("media_id", "end_ms")))
+
+
+QUERIES.update({f.__name__: f for f in (point_in_segment_all, boundary_asof_all)})
