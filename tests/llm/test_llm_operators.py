@@ -73,6 +73,46 @@ def test_jaccard_join(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()} == {i: (len(s[i]), want[i]) for i in s}
 
 
+def test_jaccard_join_of_large_groups(spark):
+    """A group of edited copies, of which many link only with others like them, a shared line, and equal texts: no link is lost."""
+    rng = np.random.default_rng(3)
+    base, texts = [f"b{k}" for k in range(60)], []
+    for _ in range(260):
+        edited = list(base)
+        for _ in range(int(rng.choice([1, 1, 2, 3, 4, 5]))):
+            at = int(rng.integers(0, 12)) * 5
+            edited[at] = f"e{rng.integers(0, 6)}"
+        texts.append(" ".join(edited[: int(rng.integers(50, 61))]))
+    line = " ".join(f"c{k}" for k in range(9))
+    texts += [line + " " + " ".join(f"x{rng.integers(0, 900)}" for _ in range(int(rng.integers(1, 12)))) for _ in range(150)]
+    texts += [" ".join(base)] * 40 + [None, "", "a b"]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, sid int").repartition(5)
+    s = {}
+    for i, t in enumerate(texts):
+        w = (t or "").split()
+        s[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    links = [(a, b) for a in s for b in s if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])]
+    want = groups(links, s)
+    assert 20 < len({want[k] for k in range(260)}) < 250
+    assert {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs).collect()} == want
+
+
+def test_differences_meet():
+    bands = jaccard_join.Bands()
+    for n in (6, 20, 60, 300):
+        for cut in range(1, n // 3 + 2):
+            head = RNG.integers(0, 2**63, n, dtype=np.uint64)
+            a = np.unique(np.concatenate([head[cut:], RNG.integers(0, 2**63, cut, dtype=np.uint64)]))
+            for more in range(n // 9 + 1):
+                b = np.unique(np.concatenate([a[more:], RNG.integers(0, 2**63, more, dtype=np.uint64)]))
+                both = len(set(a.tolist()) & set(b.tolist()))
+                x, y = (np.setxor1d(z, head) for z in (a, b))
+                band = max(bands.of(max(len(a), len(b)))[0], 0)
+                d = bands.parts(band, 0)[1]
+                if 100 * both >= 80 * (len(a) + len(b) - both) and max(len(x), len(y)) > d:
+                    assert set(bands.difference_tiles(x, 7, band).tolist()) & set(bands.difference_tiles(y, 7, band).tolist())
+
+
 def test_tiles_always_meet():
     bands = jaccard_join.Bands()
     for n in (1, 2, 4, 5, 9, 24, 60, 300):
@@ -81,7 +121,7 @@ def test_tiles_always_meet():
             b = np.unique(np.concatenate([a[cut:], RNG.integers(0, 2**63, cut // 2, dtype=np.uint64)]))
             both = len(set(a.tolist()) & set(b.tolist()))
             if 100 * both >= 80 * (len(np.unique(a)) + len(b) - both):
-                assert set(bands.tiles(np.unique(a), {}).tolist()) & set(bands.tiles(b, {}).tolist())
+                assert set(bands.tiles(np.unique(a), {})[0].tolist()) & set(bands.tiles(b, {})[0].tolist())
 
 
 def test_substring_dedup(docs):
