@@ -157,6 +157,35 @@ def test_line_dedup(docs):
     assert {r.n for r in rows} == {"clash"}
 
 
+def test_line_dedup_of_large_groups(spark):
+    """Many edited copies of a line, some of which match only each other, beside equal lines, a repeated row, a very long line and odd separators."""
+    rng = np.random.default_rng(4)
+    base, lines = [f"b{k}" for k in range(30)], []
+    for _ in range(200):
+        edited = list(base)
+        for _ in range(int(rng.choice([1, 1, 2, 3, 4, 5]))):
+            edited[int(rng.integers(0, 30))] = f"e{rng.integers(0, 8)}"
+        lines.append(" ".join(edited))
+    lines += [" ".join(base)] * 5 + ["Wide\tLINE  with ÄPFEL", "wide line\rwith ÄPFEL ", "wide line with äpfel", " ".join(f"v{k}" for k in range(9000)), " ".join(f"V{k}" for k in range(1, 9001)), "", "   "]
+    texts = ["\n".join(lines[k] for k in rng.integers(0, len(lines), 5)) for _ in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(7, texts[7]), (None, lines[3]), (500, None), (501, "")]
+    seen, want = [], []
+    for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        keep = []
+        for k, line in enumerate([] if t is None else t.split("\n")):
+            s = frozenset(line.encode().translate(LOW).split())
+            if not (s and any(10 * len(s & o) >= 8 * len(s | o) for o, at in seen if at != (i, k))):
+                keep.append(line)
+            if s:
+                seen.append((s, (i, k)))
+        want.append((i, None if t is None else "\n".join(keep)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = line_dedup.dedup_lines(docs).collect()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(want, key=key)
+    assert sum(r.n_removed for r in got) > 500
+
+
 def test_bpe_equals_tiktoken(docs):
     import public_tokenizers
     import tiktoken
