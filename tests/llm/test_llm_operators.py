@@ -157,8 +157,9 @@ def test_line_dedup(docs):
     assert {r.n for r in rows} == {"clash"}
 
 
-def test_line_dedup_of_large_groups(spark):
-    """Many edited copies of a line, some of which match only each other, beside equal lines, a repeated row, a very long line and odd separators."""
+def test_line_dedup_of_large_groups(spark, monkeypatch):
+    """Groups above the listing bound. Many edited copies of a line, some of which match only each other, beside equal lines, a repeated row, a very long line and odd separators."""
+    monkeypatch.setattr(line_dedup, "LISTED", 8)
     rng = np.random.default_rng(4)
     base, lines = [f"b{k}" for k in range(30)], []
     for _ in range(200):
