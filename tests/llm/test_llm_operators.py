@@ -73,8 +73,10 @@ def test_jaccard_join(spark, docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()} == {i: (len(s[i]), want[i]) for i in s}
 
 
-def test_jaccard_join_of_large_groups(spark):
-    """A group of edited copies, of which many link only with others like them, a shared line, and equal texts: no link is lost."""
+@pytest.mark.parametrize("block", [4096, 40])
+def test_jaccard_join_of_large_groups(spark, monkeypatch, block):
+    """Groups compared in one task, and above its bound. A group of edited copies, of which many link only with others like them, a shared line, and equal texts: no link is lost."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rng = np.random.default_rng(3)
     base, texts = [f"b{k}" for k in range(60)], []
     for _ in range(260):
