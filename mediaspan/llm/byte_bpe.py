@@ -1,24 +1,31 @@
 """Byte-level BPE: Spark's higher-order functions fold ranked merges over the byte arrays of distinct words.
 
-Each task turns a block of documents into one row: its distinct words as arrays of byte ids, every document as indexes of words, and
-the rank map as a literal table of id pairs. The fold runs in the JVM on the row's distinct words; ids of documents are then gathered from the
-folded words, and decoding concatenates the ids' binary pieces. Nothing is shuffled.
+Words are counted over all documents first; the most frequent (FREQUENT at most) are folded once and broadcast. Then each task turns a block of documents into one
+row: its other distinct words as arrays of byte ids, every document as indexes of words, and the rank map as a table of id pairs. The fold runs in the JVM on the row's
+words; ids of documents are then gathered from the folded words, and decoding takes the ids' binary pieces and concatenates them. Only the counts are shuffled.
 """
 
 from __future__ import annotations
 
 import base64
 from array import array as numbers
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stash
+
 #: Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
+#: Words that are folded once and broadcast, at most; words of a block of these.
+FREQUENT, FREQUENT_BLOCK = 400_000, 20_000
 #: Words of more bytes are merged in the task (the fold takes time in the square of the length).
 LONG_WORD = 256
 #: Slots of the rank map, bits of an id.
@@ -111,19 +118,80 @@ def _lists(values: np.ndarray, edges: list[int] | np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.asarray(edges, np.int32)), pa.array(values))
 
 
+def _to_fold(words: Iterable[str], voc: Vocabulary) -> list[list[int]]:
+    """For each word its id, if it is a piece; its merges, if it is long; else its byte ids between two ids that mark the ends, for the fold."""
+    out, end = [], len(voc.pieces)
+    for word in words:
+        raw = word.encode()
+        rank = voc.ranks.get(raw)
+        out.append([rank] if rank is not None else voc.merge(raw) if len(raw) > LONG_WORD else [end, *voc.bytes[np.frombuffer(raw, np.uint8)].tolist(), end])
+    return out
+
+
+def _nested(lists: list[list[int]]) -> pa.Array:
+    cuts = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+    return _lists(np.fromiter(chain.from_iterable(lists), np.int32, cuts[-1]), cuts)
+
+
+def frequent_words(docs: DataFrame, known: Broadcast, pattern: str, text_col: str, most: int = FREQUENT) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+    """(word -> index, ids, where each word's ids begin) of the words that come at least 2**k times in all texts, by the least k >= 1 that leaves at most ``most``; pieces are left out."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        voc, find = known.value, regex.compile(pattern).findall
+
+        def batch() -> pa.RecordBatch:
+            words = [w for w in seen if w.encode() not in voc.ranks]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
+
+        seen: Counter = Counter()
+        for part in parts:
+            for text in part.column(0):
+                seen.update(find(text.as_py() or ""))
+                if len(seen) > most:
+                    yield batch()
+                    seen = Counter()
+        yield batch()
+
+    counts = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = stash(counts, "counts")
+    powers = {r["k"]: r["w"] for r in counts.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("w")).collect()}  # 63 rows at most
+    k = next(k for k in range(1, 65) if sum(w for p, w in powers.items() if p >= k) <= most)
+    end = len(known.value.pieces)
+
+    def block(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = known.value
+        for part in parts:
+            for at in range(0, len(part), FREQUENT_BLOCK):
+                words = part.column(0).slice(at, FREQUENT_BLOCK)
+                one = pa.array([0, len(words)], pa.int32())
+                columns = [pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, _nested(_to_fold(words.to_pylist(), voc))), _lists(voc.table, [0, SLOTS]), _lists(voc.shift, [0, len(voc.shift)])]
+                yield pa.RecordBatch.from_arrays(columns, ["names", "words", "ranks", "shift"])
+
+    rows = counts.where(f"n >= {2**k}").select("word").mapInArrow(block, "names array<string>, words array<array<int>>, ranks array<bigint>, shift array<int>")
+    found = rows.select(F.explode(F.arrays_zip("names", folded(end).alias("ids"))).alias("x")).select(F.col("x.names").alias("word"), F.col("x.ids").alias("ids")).toArrow()  # ``most`` rows
+    ids = found["ids"].combine_chunks()
+    cuts = np.asarray(ids.offsets.to_numpy(), np.int64) if len(ids) else np.zeros(1, np.int64)
+    return {w: i for i, w in enumerate(found["word"].to_pylist())}, np.asarray(ids.values.to_numpy(zero_copy_only=False), np.int32), cuts
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
     """Every row: id, ids (binary, little-endian unsigned 32-bit), n_tokens; with ``check`` also decoded, the ids decoded in the task that made them.
 
-    Each match of ``pattern`` is encoded by itself, as a whole if it is a piece; no special tokens. Null texts are empty and empty texts have no ids;
+    Each match of ``pattern`` is encoded by itself, as a whole if it is a piece; no special tokens. Frequent words are folded once (``frequent_words``), the others in each block. Null texts are empty and empty texts have no ids;
     rows that repeat come back as often; other columns are ignored.
     """
-    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(vocabulary)
+    common = spark.sparkContext.broadcast(frequent_words(docs, known, pattern, text_col))
     kind, end = docs.schema[id_col].dataType.simpleString(), len(vocabulary.pieces)
 
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         voc, find = known.value, regex.compile(pattern).findall
+        place, flat, begins = common.value
         for batch in parts:
             ids, texts = batch.column(0), batch.column(1)
             at = 0
@@ -133,22 +201,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
                 while at < len(texts) and (at == begin or chars < BLOCK_CHARS):
                     text = texts[at].as_py() or ""
                     chars += len(text)
-                    found = find(text)
-                    codes.extend(index.setdefault(x, len(index)) for x in found)
+                    codes.extend([index.setdefault(x, len(index)) for x in find(text)])
                     edges.append(len(codes))
                     at += 1
-                parts_of, cuts = [], [0]
-                for word in index:
-                    raw = word.encode()
-                    rank = voc.ranks.get(raw)
-                    parts_of.append([rank] if rank is not None else voc.merge(raw) if len(raw) > LONG_WORD else [end, *voc.bytes[np.frombuffer(raw, np.uint8)].tolist(), end])
-                    cuts.append(cuts[-1] + len(parts_of[-1]))
-                words = _lists(np.fromiter(chain.from_iterable(parts_of), np.int32, cuts[-1]), cuts)
+                folds = [flat[begins[k] : begins[k + 1]] if (k := place.get(w)) is not None else _to_fold((w,), voc)[0] for w in index]
+                words = _nested(folds)
                 one = pa.array([0, at - begin], pa.int32())
-                columns = [pa.ListArray.from_arrays(one, ids.slice(begin, at - begin)), pa.ListArray.from_arrays(one, _lists(np.array(codes, np.int32), edges)), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), _lists(voc.table, [0, SLOTS]), _lists(voc.shift, [0, len(voc.shift)])]
+                columns = [pa.ListArray.from_arrays(one, ids.slice(begin, at - begin)), pa.ListArray.from_arrays(one, _lists(np.frombuffer(codes, np.int32) if codes else np.zeros(0, np.int32), edges)), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), _lists(voc.table, [0, SLOTS]), _lists(voc.shift, [0, len(voc.shift)])]
                 yield pa.RecordBatch.from_arrays(columns, ["ids", "codes", "words", "ranks", "shift"])
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = pa.array(known.value.pieces, pa.large_binary())
         for batch in parts:
             for row in range(batch.num_rows):
                 ids, codes, words = (batch.column(k)[row].values for k in range(3))
@@ -164,7 +227,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
                     texts = [tokens[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])]
                     columns = [ids.slice(k, len(texts)), pa.array(texts, pa.binary()), pa.array([len(t) // 4 for t in texts], pa.int64())]
                     if check:
-                        columns.append(pa.array([joined(t, known.value.pieces) for t in texts], pa.binary()))
+                        columns.append(joined(tokens, ends, pieces))
                     yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "n_tokens", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(blocks, f"ids array<{kind}>, codes array<array<int>>, words array<array<int>>, ranks array<bigint>, shift array<int>")
@@ -172,9 +235,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
     return rows.mapInArrow(gather, f"id {kind}, ids binary, n_tokens long" + ", decoded binary" * check).withColumnRenamed("id", id_col)
 
 
-def joined(ids: bytes, pieces: list[bytes]) -> bytes:
-    """The pieces of little-endian ids, one after another."""
-    return b"".join([pieces[k] for k in np.frombuffer(ids, "<u4").tolist()])
+def joined(ids: np.ndarray, ends: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """The binary pieces of the ids between ``ends``, one after another: Arrow gathers them into one buffer, which is cut at the texts' ends."""
+    taken = pieces.take(pa.array(ids.astype(np.int64)))
+    at = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1][ends] if len(taken) else np.zeros(len(ends), np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(at), taken.buffers()[2] or pa.py_buffer(b"")]).cast(pa.binary())
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") -> DataFrame:
@@ -182,9 +247,12 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids") ->
     known = encoded.sparkSession.sparkContext.broadcast(vocabulary.pieces)
 
     @F.pandas_udf("binary")
-    def pieces(column):
-        table = known.value
-        return column.map(lambda x: None if x is None else joined(x, table))
+    def pieces(column: pd.Series) -> pd.Series:
+        table = pa.array(known.value, pa.large_binary())
+        raw = [b"" if x is None else x for x in column]
+        ids = np.frombuffer(b"".join(raw), "<u4")
+        ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw], dtype=np.int64)])
+        return pd.Series([None if x is None else y for x, y in zip(column, joined(ids, ends, table).to_pylist())], dtype=object)
 
     return encoded.withColumn("decoded", pieces(ids_col))
 

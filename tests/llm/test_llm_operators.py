@@ -199,6 +199,11 @@ def test_bpe_equals_tiktoken(docs):
     assert sorted(byte_bpe.encode(docs, vocabulary, pattern, check=True).select("ids", "decoded").collect()) == sorted(out.select("ids", "decoded").collect())
     got = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in out.collect()}
     assert got == {i: (known.encode_ordinary(t or ""), (t or "").encode()) for i, t in texts()}
+    odd = [(1, "Über\u00a0 straße\t12345\r\n  x" * 9, 2), (1, "again", 3), (1, "again", 3), (None, "é" * 700 + " z" * 40_000 + "thtionreheering" * 60, 4), (3, None, 5)]
+    found = byte_bpe.encode(docs.sparkSession.createDataFrame(odd, "doc_id long, text string, ids long"), vocabulary, pattern, check=True).collect()
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(((r.doc_id, bytes(r.decoded), np.frombuffer(r.ids, "<u4").tolist()) for r in found), key=key) == sorted(((i, (t or "").encode(), known.encode_ordinary(t or "")) for i, t, _ in odd), key=key)
+    assert byte_bpe.encode(docs.limit(0), vocabulary, pattern, check=True).count() == 0
     for word in ("thtionreheering" * 30, "é" * 200):
         assert vocabulary.merge(word.encode()) == known.encode_ordinary(word)
 
