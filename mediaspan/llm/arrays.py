@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
+#: Words of more bytes are hashed by BLAKE2.
+LONG_WORD = 256
+_TO_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -69,6 +73,10 @@ class Words:
         total = np.zeros(len(data) + 1, _U)
         np.cumsum((_LOWER if lower else _BYTE)[data] * up[: len(data)], out=total[1:])
         self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(_U))
+        # a polynomial modulo 2**64 has equal values for some long words of two letters
+        for k in np.flatnonzero(self.ends - self.starts > LONG_WORD):
+            word = data[self.starts[k] : self.ends[k]].tobytes()
+            self.hashes[k] = int.from_bytes(blake2b(word.translate(_TO_LOWER) if lower else word, digest_size=8).digest(), "little")
 
     def text(self, k: int) -> bytes:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()

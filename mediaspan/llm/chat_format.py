@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 END, RAW, ESCAPED = "</turn>\n", "### ", "##\\ "
 #: (control string, its escaped form); backslashes are doubled before, so each escaped form holds the only single backslash.
 CONTROLS = (("</turn>", "<\\/turn>"), ("### ", "#\\## "))
-#: In roles, also the line end.
-ROLE_CONTROLS = (*CONTROLS, ("\n", "#\\n#"))
+#: In roles, also the line end; its form has no sign of a control string, so it makes none with what is beside it.
+ROLE_CONTROLS = (*CONTROLS, ("\n", "%\\n%"))
 ASSISTANT = "assistant"
 
 
@@ -112,7 +112,7 @@ with r as (
     string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as turns,
     coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '') as loss,
     sum(length(role) + length(text) + 13) as raw_n,
-    sum(13 + length(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## '), chr(10), '#\n#'))
+    sum(13 + length(replace(replace(replace(replace(role, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## '), chr(10), '%\n%'))
       + length(replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '### ', '#\## '))) as safe_n
   from r group by conv_id
 )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,11 +10,10 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor can reach (``spark.checkpoint.dir``); a new local one where it is unset, as in tests."""
+    """The folder that every executor can reach: ``spark.checkpoint.dir``, or one in the warehouse where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="mediaspan-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     return found.rstrip("/")
 
 

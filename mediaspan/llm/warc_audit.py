@@ -48,8 +48,8 @@ def audit(one: DataFrame, two: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout:
     """Records in which two replicas differ: file, record_id, offset_a, offset_b, digest_a, digest_b, kind (changed, moved, missing, extra).
 
     Roots are compared first and only branches that differ are followed; records are compared in the leaf ranges that differ. Null files or
-    offsets are left out of the trees (a record without place cannot be audited); repeated records count by their number in the hash and are
-    reported once; empty replicas give every record of the other.
+    offsets are left out of the trees (a record without place cannot be audited). In ranges that differ, rows equal in all fields cancel out as often as both replicas hold them; what is
+    left of a record id in a file is paired in the order of offset and digest, so a record that one replica holds once more is reported once. Empty replicas give every record of the other.
     """
     a, b = (stash(record_hashes(x.where("file is not null and offset is not null")), "records") for x in (one, two))
     la, lb = merkle_levels(a, leaf_bytes, fanout), merkle_levels(b, leaf_bytes, fanout)
@@ -64,10 +64,14 @@ def audit(one: DataFrame, two: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout:
             x, y = (z.withColumn("up", F.expr(f"node div {fanout}")).join(up, ["file", "up"], "left_semi") for z in (x, y))
         both = x.select("file", "node", F.col("digest").alias("x")).join(y.select("file", "node", F.col("digest").alias("y")), ["file", "node"], "full")
         bad = stash(both.where("not (x <=> y)").select("file", "node"), "differ")
-    inside = lambda z, s: z.withColumn("node", F.expr(f"offset div {leaf_bytes}")).join(bad, ["file", "node"], "left_semi").select("file", "record_id", F.col("offset").alias(f"offset_{s}"), F.col("digest").alias(f"digest_{s}")).distinct()
-    pairs = inside(a, "a").join(inside(b, "b"), ["file", "record_id"], "full")
-    kind = F.when(F.col("digest_b").isNull(), "missing").when(F.col("digest_a").isNull(), "extra").when(F.expr("digest_a <> digest_b"), "changed").when(F.expr("offset_a <> offset_b"), "moved")
-    return pairs.withColumn("kind", kind).where("kind is not null")
+    inside = lambda z, one: z.withColumn("node", F.expr(f"offset div {leaf_bytes}")).join(bad, ["file", "node"], "left_semi").withColumn("d", F.lit(one))
+    rows = inside(a, 1).unionByName(inside(b, -1)).groupBy("file", "record_id", "offset", "digest").agg(F.sum("d").alias("d")).where("d <> 0")
+    rows = rows.withColumn("own", F.expr("d > 0")).withColumn("again", F.explode(F.sequence(F.lit(1), F.abs("d"))))
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("file", "record_id", "own").orderBy("offset", "digest")))
+    of = lambda own, c, s: F.max(F.when(F.col("own") if own else ~F.col("own"), F.col(c))).alias(f"{c}_{s}")
+    pairs = rows.groupBy("file", "record_id", "nth").agg(of(True, "offset", "a"), of(True, "digest", "a"), of(False, "offset", "b"), of(False, "digest", "b")).drop("nth")
+    kind = F.when(F.col("offset_b").isNull(), "missing").when(F.col("offset_a").isNull(), "extra").when(F.expr("not (digest_a <=> digest_b)"), "changed").otherwise("moved")
+    return pairs.withColumn("kind", kind)
 
 
 def page_records(pages: DataFrame, payload: Column) -> DataFrame:

@@ -224,6 +224,40 @@ def test_chats_round_trip(spark):
     assert out[1].escaped and not out[2].escaped and [(t.role, t.text) for t in out[None].turns] == [("", "x")]
 
 
+def test_chats_of_random_texts(spark):
+    rng = np.random.default_rng(6)
+    said = lambda: "".join(rng.choice(list("\\#/<>nturn% \n"), int(rng.integers(0, 14)))) + str(rng.choice(["", "### ", "</turn>", "\n## x"]))
+    rows = [(c, k, said(), said()) for c in range(300) for k in range(3)] + [(-1, 0, "\n## x", "t"), (-2, 0, "user", None), (-2, 0, "user", None), (-2, 0, None, "tie")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat_format.format_chats(frame).collect()}
+    want = {c: [(r, t) for i, _, r, t in rows if i == c] for c in range(300)}
+    assert out == {**want, -1: [("\n## x", "t")], -2: [("", "tie"), ("user", ""), ("user", "")]}
+    assert chat_format.format_chats(frame.limit(0)).count() == 0
+
+
+def test_long_words_of_two_letters_differ():
+    import pyarrow as pa
+
+    from mediaspan.llm.arrays import slices
+
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), word.upper()]
+    for lower, kinds in ((False, 3), (True, 2)):
+        assert len({int(h) for _, w in slices(pa.array(texts), lower=lower) for h in w.hashes}) == kinds
+
+
+def test_audit_of_repeated_records(spark):
+    kind = "file long, offset long, record_id long, payload string"
+    one = [(1, 0, 5, "x"), (1, 50, 5, "x"), (1, 80, 6, "y"), (1, 80, 6, "y"), (2, 0, 7, None), (2, 9, 8, ""), (None, 1, 9, "z"), (3, 0, None, "n")]
+    two = [(1, 0, 5, "x"), (1, 50, 5, "x"), (1, 80, 6, "y"), (2, 0, 7, ""), (2, 9, 8, ""), (3, 0, None, "n")]
+    a, b = spark.createDataFrame(one, kind), spark.createDataFrame(two, kind)
+    assert sorted((r.record_id, r.offset_a, r.kind) for r in warc_audit.audit(a, b).collect()) == [(6, 80, "missing"), (7, 0, "changed")]
+    assert warc_audit.audit(a, a).count() == 0
+    assert {(r.record_id, r.kind) for r in warc_audit.audit(a.limit(0), b).collect()} == {(r[2], "extra") for r in two}
+
+
 def test_decontamination(spark):
     items = [prose(30), prose(25)]
     edited = items[0].split()
