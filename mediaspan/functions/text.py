@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def collapse(c: Column) -> Column:
     """White space runs become one space; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
 def headline(c: Column, least: int = 2, most: int = 4) -> Column:
@@ -26,8 +26,8 @@ def truncate_words(c: Column, most: int) -> Column:
 
 
 def hashtags(tags: Column) -> Column:
-    """Trimmed, ``#`` in front, spaces as ``_``, the first of equals; empty ones go."""
-    tags = F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: (t != "") & (t != "#"))
+    """Stripped of white space, ``#`` in front, spaces as ``_``, the first of equals; empty ones go."""
+    tags = F.filter(F.transform(tags, lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), lambda t: (t != "") & (t != "#"))
     return F.array_distinct(F.transform(tags, lambda t: F.translate(F.when(F.startswith(t, F.lit("#")), t).otherwise(F.concat(F.lit("#"), t)), " ", "_")))
 
 
@@ -44,11 +44,12 @@ def ass_time(ms: Column) -> Column:
 
 
 def ass_colour(c: Column) -> Column:
-    """``#RRGGBB`` or ``#AARRGGBB`` as ``&HAABBGGRR&``; ``&H...`` as it is; null for others."""
-    h = F.upper(F.substring(c, 2, 8))
-    h = F.when(F.length(h) == 6, F.concat(F.lit("00"), h)).otherwise(h)
-    swapped = F.concat(F.lit("&H"), F.substring(h, 1, 2), F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.lit("&"))
-    return F.when(c.rlike("^#([0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})$"), swapped).when(F.startswith(c, F.lit("&H")), c)
+    """``RRGGBB`` or ``AARRGGBB``, with or without ``#``, as ``&HAABBGGRR&`` with the digits as they are; ``&H...`` as it is; white space around is ignored, others are null."""
+    c = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    h = F.regexp_replace(c, "^#+", "")
+    argb = F.when(F.length(h) == 6, F.concat(F.lit("00"), h)).when(F.length(h) == 8, h)
+    swapped = F.concat(F.lit("&H"), F.substring(argb, 1, 2), F.substring(argb, 7, 2), F.substring(argb, 5, 2), F.substring(argb, 3, 2), F.lit("&"))
+    return F.when(F.upper(F.substring(c, 1, 2)) == "&H", c).otherwise(swapped)
 
 
 def ass_escape(c: Column) -> Column:

@@ -74,8 +74,8 @@ def contained(items: DataFrame, cuts: DataFrame, bucket_ms: int = 60_000) -> Dat
 
 
 def boundary_asof(points: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Largest boundary before and smallest after each point, strictly. One sort by media: no pairs are made."""
+    """Largest boundary before and smallest after each point, strictly. Sorted once in each direction, as frames that only grow: linear in an item's rows, and no pairs are made."""
     rows = points.select(KEY, "at_ms", "point_id", F.lit(None).cast("bigint").alias("b")).unionByName(bounds.select(KEY, F.col("at_ms"), F.lit(None).cast("bigint").alias("point_id"), F.col("at_ms").alias("b")))
-    order = W.partitionBy(KEY).orderBy("at_ms")
-    rows = rows.withColumns({"previous_ms": F.max("b").over(order.rangeBetween(W.unboundedPreceding, -1)), "next_ms": F.min("b").over(order.rangeBetween(1, W.unboundedFollowing))})
+    order, back = W.partitionBy(KEY).orderBy("at_ms"), W.partitionBy(KEY).orderBy(F.desc("at_ms"))
+    rows = rows.withColumns({"previous_ms": F.max("b").over(order.rangeBetween(W.unboundedPreceding, -1)), "next_ms": F.min("b").over(back.rangeBetween(W.unboundedPreceding, -1))})
     return rows.where("point_id is not null").select(KEY, "point_id", "at_ms", "previous_ms", "next_ms")

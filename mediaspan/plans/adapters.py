@@ -1,4 +1,4 @@
-"""Domain tables made from the supplied test tables: the same definitions as in ``oracle``."""
+"""Domain tables made from the supplied test tables: the same definitions as in the catalogue's SQL."""
 
 from __future__ import annotations
 

@@ -95,18 +95,18 @@ def energy_peaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_ENERGY}, spans as (select distinct media_id, s as span_id, s * 500 as start_ms, s * 500 + 900 as end_ms from samples, unnest(generate_series(0, 6)) as t(s))
-select s.media_id, span_id, cast(round(avg(energy) * 1000) as bigint) as mean_energy, cast(round(coalesce(max(energy), 0) * 1000) as bigint) as max_energy from spans s left join energy e on e.media_id = s.media_id and e.win >= s.start_ms // 250 and e.win < (s.end_ms + 249) // 250 group by all""")
+select s.media_id, span_id, cast(round(coalesce(avg(energy), 0) * 1000) as bigint) as mean_energy, cast(round(coalesce(max(energy), 0) * 1000) as bigint) as max_energy from spans s left join energy e on e.media_id = s.media_id and e.win >= s.start_ms // 250 and e.win < (s.end_ms + 249) // 250 group by all""")
 def window_energy(spark: SparkSession, d: str) -> DataFrame:
     spans = A.samples(spark, d).select("media_id").distinct().withColumn("span_id", F.explode(F.sequence(F.lit(0), F.lit(6)))).selectExpr("media_id", "span_id", "span_id * 500 as start_ms", "span_id * 500 + 900 as end_ms")
     out = signal.span_energy(spans, _energy(spark, d), 250)
     return out.select("media_id", "span_id", F.round(F.col("mean_energy") * 1000).cast("bigint").alias("mean_energy"), F.round(F.col("max_energy") * 1000).cast("bigint").alias("max_energy"))
 
 
-_POINTS = "points as (select media_id, word_idx as point_id, start_ms + 175 as at_ms from words where word_idx % 5 = 0)"
+_POINTS = "points as (select media_id, word_idx as point_id, start_ms + 175 as at_ms from words)"
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return A.words(spark, d).where("word_idx % 5 = 0").selectExpr("media_id", "word_idx as point_id", "start_ms + 175 as at_ms")
+    return A.words(spark, d).selectExpr("media_id", "word_idx as point_id", "start_ms + 175 as at_ms")
 
 
 @query(f"with {_WORDS}, {_POINTS} select p.media_id, point_id, at_ms, min(seg_idx) as seg_idx from points p left join segments s on s.media_id = p.media_id and at_ms >= s.start_ms and at_ms < s.end_ms group by all")
@@ -122,7 +122,8 @@ def word_containment(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {_WORDS}, {_POINTS}, b as (select distinct media_id, start_ms as at_ms from segments union select media_id, end_ms from segments)
-select p.media_id, point_id, p.at_ms, (select max(b.at_ms) from b where b.media_id = p.media_id and b.at_ms < p.at_ms) as previous_ms, (select min(b.at_ms) from b where b.media_id = p.media_id and b.at_ms > p.at_ms) as next_ms from points p""")
+select p.media_id, point_id, p.at_ms, x.at_ms as previous_ms, y.at_ms as next_ms from points p
+asof left join b x on x.media_id = p.media_id and p.at_ms > x.at_ms asof left join b y on y.media_id = p.media_id and p.at_ms < y.at_ms""")
 def boundary_asof(spark: SparkSession, d: str) -> DataFrame:
     segs = A.segments(spark, d)
     bounds = segs.select("media_id", F.col("start_ms").alias("at_ms")).union(segs.select("media_id", "end_ms"))
@@ -134,9 +135,10 @@ from speech a join speech b on a.media_id = b.media_id and a.event_id < b.event_
 def temporal_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = A.speech(spark, d).where("end_ms > start_ms").withColumn("bucket", F.explode(F.expr("sequence(start_ms div 200000, (end_ms - 1) div 200000)")))
     a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, ["media_id", "bucket"]).where("a.event_id < b.event_id and least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms)")
+    # only in the bucket in which the overlap begins
+    pairs = a.join(b, ["media_id", "bucket"]).where("a.event_id < b.event_id and least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms) and bucket = greatest(a.start_ms, b.start_ms) div 200000")
     iou = intervals.temporal_iou(*(F.col(c) for c in ("a.start_ms", "a.end_ms", "b.start_ms", "b.end_ms")))
-    return pairs.select(F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"), F.floor(iou * 1_000_000).alias("iou_millionths")).distinct()
+    return pairs.select(F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"), F.floor(iou * 1_000_000).alias("iou_millionths"))
 
 
 def _greedy_sql(source: str, fits: str, keep: int, out: str) -> str:
@@ -245,12 +247,12 @@ def face_smooth(spark: SparkSession, d: str) -> DataFrame:
     return selection.smooth_track(A.faces(spark, d)).select("media_id", "sample_id", F.floor(F.col("hold") * 1_000_000 + 1e-4).alias("hold_millionths"))
 
 
-_SHORT = "short as (select media_id, total_ms % 200000 + 3000 as total_ms from totals), pauses as (select media_id, start_ms % 200000 as start_ms, start_ms % 200000 + 400 + event_id % 500 as end_ms from speech)"
+_SHORT = "short as (select media_id, total_ms from totals), pauses as (select media_id, start_ms, start_ms + 400 + event_id % 500 as end_ms from speech)"
 
 
 def _zoom(spark: SparkSession, d: str) -> DataFrame:
-    pauses = A.speech(spark, d).selectExpr("media_id", "start_ms % 200000 as start_ms", "start_ms % 200000 + 400 + event_id % 500 as end_ms")
-    return selection.plan_shots(A.totals(spark, d).selectExpr("media_id", "total_ms % 200000 + 3000 as total_ms"), pauses)
+    pauses = A.speech(spark, d).selectExpr("media_id", "start_ms", "start_ms + 400 + event_id % 500 as end_ms")
+    return selection.plan_shots(A.totals(spark, d), pauses)
 
 
 _PLAN = f"""with recursive {_SPEECH}, {_SHORT}, w as (select media_id, total_ms, -1 as idx, 0::bigint as a, 0::bigint as b from short
@@ -286,7 +288,7 @@ def success_payload(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", jobs.success_payload(F.lit("READY"), path, F.col("attempts")).alias("payload"), jobs.transition_url(F.lit("http://host/api//"), F.col("upload_id")).alias("url"), jobs.backoff_ms(F.col("attempts")).alias("wait_ms"))
 
 
-# point_in_segment and boundary_asof, like their SQL, take every fifth word as a point. These take every word.
+# The same two by other names, tested against a loop.
 def _all_points(spark: SparkSession, d: str) -> DataFrame:
     return A.words(spark, d).selectExpr("media_id", "word_idx as point_id", "start_ms + 175 as at_ms")
 
