@@ -25,7 +25,7 @@ from .shared import stash
 #: Characters of text in a block; a longer text is a block of its own.
 BLOCK_CHARS = 6_000_000
 #: Words that are folded once and broadcast, at most; words of a block of these.
-FREQUENT, FREQUENT_BLOCK = 400_000, 20_000
+FREQUENT, FREQUENT_BLOCK = 250_000, 20_000
 #: Words of more bytes are merged in the task (the fold takes time in the square of the length).
 LONG_WORD = 256
 #: Slots of the rank map, bits of an id.
@@ -133,8 +133,8 @@ def _nested(lists: list[list[int]]) -> pa.Array:
     return _lists(np.fromiter(chain.from_iterable(lists), np.int32, cuts[-1]), cuts)
 
 
-def frequent_words(docs: DataFrame, known: Broadcast, pattern: str, text_col: str, most: int = FREQUENT) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
-    """(word -> index, ids, where each word's ids begin) of the words that come at least 2**k times in all texts, by the least k >= 1 that leaves at most ``most``; pieces are left out."""
+def frequent_words(docs: DataFrame, known: Broadcast, pattern: str, text_col: str, most: int = FREQUENT) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words, ids, where each word's ids begin) of the words that come at least 2**k times in all texts, by the least k >= 1 that leaves at most ``most``; pieces are left out."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -173,7 +173,7 @@ def frequent_words(docs: DataFrame, known: Broadcast, pattern: str, text_col: st
     found = rows.select(F.explode(F.arrays_zip("names", folded(end).alias("ids"))).alias("x")).select(F.col("x.names").alias("word"), F.col("x.ids").alias("ids")).toArrow()  # ``most`` rows
     ids = found["ids"].combine_chunks()
     cuts = np.asarray(ids.offsets.to_numpy(), np.int64) if len(ids) else np.zeros(1, np.int64)
-    return {w: i for i, w in enumerate(found["word"].to_pylist())}, np.asarray(ids.values.to_numpy(zero_copy_only=False), np.int32), cuts
+    return found["word"].combine_chunks(), np.asarray(ids.values.to_numpy(zero_copy_only=False), np.int32), cuts
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
@@ -191,7 +191,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
         import regex
 
         voc, find = known.value, regex.compile(pattern).findall
-        place, flat, begins = common.value
+        names, flat, begins = common.value
+        place = {w: i for i, w in enumerate(names.to_pylist())}
         for batch in parts:
             ids, texts = batch.column(0), batch.column(1)
             at = 0
