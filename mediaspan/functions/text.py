@@ -2,15 +2,47 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _bare(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+
+
+#: Letters with marks below U+2000 and the same without, where that is one letter.
+_MARKED = [(c, _bare(c)) for c in map(chr, range(0xC0, 0x2000)) if len(_bare(c)) == 1 and _bare(c) != c]
+
+
 def collapse(c: Column) -> Column:
     """White space runs become one space; ends are trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def fragment(c: Column) -> Column:
+    """Lower-cased letters, digits and white space, without marks (letters up to U+1FFF)."""
+    plain = F.translate(c, "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
+    return F.lower(F.regexp_replace(plain, r"(?U)[^\p{L}\p{N}\s]", ""))
+
+
+def first_words(c: Column, most: int = 5, default: str = "ASSISTA AGORA") -> Column:
+    """The first ``most`` words as they are; ``default`` for none or null."""
+    words = F.filter(F.split(collapse(c), " "), lambda w: w != "")
+    return F.when(F.size(words) > 0, F.array_join(F.slice(words, 1, most), " ")).otherwise(default)
+
+
+def fallback_headline(title: Column, transcript: Column, least: int = 2, most: int = 4, default: str = "ASSISTA AGORA") -> Column:
+    """The headline of the title, else of the transcript, else ``default``."""
+    return F.coalesce(headline(title, least, most), headline(transcript, least, most), F.lit(default))
+
+
+def resolve_headline(given: list[Column], title: Column, transcript: Column) -> Column:
+    """The first given text that isn't blank, cut to five words, else the fallback."""
+    return F.coalesce(*[F.when(collapse(g) != "", first_words(g)) for g in given], fallback_headline(title, transcript))
+
+
 def headline(c: Column, least: int = 2, most: int = 4) -> Column:
     """Upper-cased words, cut to ``most``; null with fewer than ``least``."""
     words = F.split(F.upper(collapse(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", " "))), " ")
@@ -64,3 +96,28 @@ def dialogue(start_ms: Column, end_ms: Column, text: Column) -> Column:
 def flag(c: Column, words: tuple[str, ...] = ("true", "1")) -> Column:
     """A yes in free text; null is no."""
     return F.coalesce(F.lower(F.trim(c)).isin(*words), F.lit(False))
+
+
+def to_ms(seconds: Column) -> Column:
+    """Whole milliseconds of seconds (a number or its text), half to even; null for what isn't one."""
+    return F.rint(seconds.try_cast("double") * 1000).try_cast("bigint")
+
+
+def probability(c: Column) -> Column:
+    """Clamped to 0..1; 0 for what isn't a number."""
+    return F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), c.try_cast("double"))), F.lit(0.0))
+
+
+def clip_text(c: Column, most: int = 220) -> Column:
+    """At most ``most`` characters, the last three of them dots if it was longer."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 3), F.lit("..."))).otherwise(c)
+
+
+def filter_path(c: Column) -> Column:
+    """A path quoted for a filter text."""
+    return F.concat(F.lit("'"), F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("/")), F.lit(":"), F.lit("\\:")), F.lit("'"), F.lit("”")), F.lit("'"))
+
+
+def seconds_text(ms: Column) -> Column:
+    """Seconds with six decimals."""
+    return F.format_string("%.6f", ms / 1000)

@@ -79,3 +79,39 @@ def boundary_asof(points: DataFrame, bounds: DataFrame) -> DataFrame:
     order, back = W.partitionBy(KEY).orderBy("at_ms"), W.partitionBy(KEY).orderBy(F.desc("at_ms"))
     rows = rows.withColumns({"previous_ms": F.max("b").over(order.rangeBetween(W.unboundedPreceding, -1)), "next_ms": F.min("b").over(back.rangeBetween(W.unboundedPreceding, -1))})
     return rows.where("point_id is not null").select(KEY, "point_id", "at_ms", "previous_ms", "next_ms")
+
+
+def neighbours(probes: DataFrame, bounds: DataFrame, by: tuple[str, ...] = (KEY,)) -> DataFrame:
+    """For each probe (``by``, at_ms, others): ``floor``, the largest ``v`` of the bounds (``by``, at_ms, v) at or before it, and ``ceiling``, the smallest at or after it.
+
+    Null where there is none or the probe has no time. Sorted once in each direction, as frames that only grow: linear in an item's rows.
+    """
+    rest = [c for c in probes.columns if c not in (*by, "at_ms")]
+    left = probes.select(*by, "at_ms", F.struct(*rest).alias("probe"), F.lit(None).cast(bounds.schema["v"].dataType).alias("v"))
+    right = bounds.where("at_ms is not null").select(*by, "at_ms", F.lit(None).cast(left.schema["probe"].dataType).alias("probe"), "v")
+    up = W.partitionBy(*by).orderBy("at_ms").rangeBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(*by).orderBy(F.desc("at_ms")).rangeBetween(W.unboundedPreceding, 0)
+    rows = left.unionByName(right).withColumns({"floor": F.max("v").over(up), "ceiling": F.min("v").over(down)})
+    timed = F.col("at_ms").isNotNull()
+    return rows.where("probe is not null").select(*by, "at_ms", "probe.*", F.when(timed, F.col("floor")).alias("floor"), F.when(timed, F.col("ceiling")).alias("ceiling"))
+
+
+def first_segments(points: DataFrame, segments: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    """For each point (media_id, point_id, kind, at_ms) that some segment holds: the first one by seg_idx, as ``seg`` (seg_idx, start_ms, end_ms)."""
+    hits = interval_join(points, segments.select(KEY, "seg_idx", "start_ms", "end_ms"), bucket_ms)
+    return hits.groupBy(KEY, "point_id", "kind").agg(F.min(F.struct("seg_idx", "start_ms", "end_ms")).alias("seg"))
+
+
+def align_to_pauses(windows: DataFrame, pauses: DataFrame, totals: DataFrame, tolerance_ms: int) -> DataFrame:
+    """Windows (media_id, span_id, start_ms, end_ms): the start moves back to the nearest pause's end, the end on to the nearest pause's start, each within the tolerance; a window that would turn round stays."""
+    sides = windows.select(KEY, "span_id", F.explode(F.array(F.struct(F.lit("in").alias("kind"), F.col("start_ms").alias("at_ms")), F.struct(F.lit("out").alias("kind"), F.col("end_ms").alias("at_ms")))).alias("p")).select(KEY, "span_id", "p.*")
+    bounds = pauses.select(KEY, F.explode(F.array(F.struct(F.lit("in").alias("kind"), F.col("end_ms").alias("at_ms")), F.struct(F.lit("out").alias("kind"), F.col("start_ms").alias("at_ms")))).alias("p")).select(KEY, "p.*", F.col("p.at_ms").alias("v"))
+    near = neighbours(sides, bounds, (KEY, "kind"))
+    near = near.groupBy(KEY, "span_id").agg(
+        F.max(F.when((F.col("kind") == "in") & (F.col("at_ms") - F.col("floor") <= tolerance_ms), F.col("floor"))).alias("a"),
+        F.max(F.when((F.col("kind") == "out") & (F.col("ceiling") - F.col("at_ms") <= tolerance_ms), F.col("ceiling"))).alias("b"),
+    )
+    rows = windows.join(near, [KEY, "span_id"]).join(totals.select(KEY, "total_ms"), KEY)
+    a = F.when(F.col("a").isNull(), F.col("start_ms")).otherwise(F.greatest(F.lit(0), F.col("a")))
+    b = F.when(F.col("b").isNull(), F.col("end_ms")).otherwise(F.least("total_ms", "b"))
+    return rows.select(KEY, "span_id", F.when(b > a, a).otherwise(F.col("start_ms")).alias("start_ms"), F.when(b > a, b).otherwise(F.col("end_ms")).alias("end_ms"))

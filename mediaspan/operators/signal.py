@@ -16,14 +16,22 @@ def rms_windows(samples: DataFrame, size: int) -> DataFrame:
     return rms.select(KEY, "win", F.when(most > 0, F.col("rms") / most).otherwise(0.0).alias("energy"))
 
 
-def energy_peaks(energy: DataFrame, step_ms: int, floor: float = 0.30) -> DataFrame:
-    """Local maxima (not below the left neighbour, above the right one, and at least the larger of ``floor`` and the mean) and the global maximum."""
+def energy_peaks(energy: DataFrame, step_ms: int, totals: DataFrame, floor: float = 0.30) -> DataFrame:
+    """Local maxima (not below the left neighbour, above the right one, and at least the larger of ``floor`` and the mean) and the global maximum; they end at total_ms at the latest."""
     order, whole = W.partitionBy(KEY).orderBy("win"), W.partitionBy(KEY)
     left, right = F.lag("energy", 1, 0.0).over(order), F.lead("energy", 1, 0.0).over(order)
     rows = energy.withColumns({"left": left, "right": right, "mean": F.avg("energy").over(whole), "top": F.max("energy").over(whole)})
     local = (F.col("energy") >= F.col("left")) & (F.col("energy") > F.col("right")) & (F.col("energy") >= F.greatest(F.lit(floor), F.col("mean")))
     rows = rows.where(local | ((F.col("energy") == F.col("top")) & (F.col("top") > 0)))
-    return rows.select(KEY, "win", (F.col("win") * step_ms).alias("start_ms"), ((F.col("win") + 1) * step_ms).alias("end_ms"), F.round("energy", 6).alias("intensity"))
+    rows = rows.join(totals.select(KEY, "total_ms"), KEY)
+    start, end = F.col("win") * step_ms, F.least("total_ms", (F.col("win") + 1) * step_ms)
+    return rows.select(KEY, "win", start.alias("start_ms"), end.alias("end_ms"), F.floor((start + end) / 2).alias("peak_ms"), F.round("energy", 6).alias("intensity"))
+
+
+def bound_confidence(spans: DataFrame, probs: DataFrame, step_ms: int = 32) -> DataFrame:
+    """Mean probability (media_id, win, prob) of the windows that each span meets; null where it meets none."""
+    wins = spans.withColumn("win", F.explode_outer(F.expr(f"if(end_ms > start_ms, sequence(start_ms div {step_ms}, (end_ms + {step_ms - 1}) div {step_ms} - 1), null)")))
+    return wins.join(probs, [KEY, "win"], "left").groupBy(KEY, "span_id").agg(F.avg("prob").alias("confidence"))
 
 
 def span_energy(spans: DataFrame, energy: DataFrame, step_ms: int) -> DataFrame:

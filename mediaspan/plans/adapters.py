@@ -49,9 +49,12 @@ def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as queue messages: native and wrapped ones in turn, every seventh malformed."""
+    """Orders as queue messages: native and wrapped ones in turn, every seventh malformed, every eleventh without a path, every thirteenth with a number as upload."""
     key = F.col("o_orderkey").cast("string")
-    native = F.concat(F.lit('{"jobId":"j'), key, F.lit('","uploadId":"u'), key, F.lit('","attempts":"'), (F.col("o_custkey") % 4).cast("string"), F.lit('"}'))
-    wrapped = F.concat(F.lit('{"data":{"jobId":"j'), key, F.lit('","uploadId":"u'), key, F.lit('"},"opts":{"attempts":'), (F.col("o_custkey") % 3 + 1).cast("string"), F.lit("}}"))
+    path = F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(F.concat(F.lit(',"filePath":"/in/'), key, F.lit('.mp4"')))
+    upload = F.when(F.col("o_orderkey") % 13 == 0, key).otherwise(F.concat(F.lit('"u'), key, F.lit('"')))
+    fields = F.concat(F.lit('"jobId":"j'), key, F.lit('","uploadId":'), upload, path, F.lit(',"createdAt":"2024-01-01T00:00:00Z"'))
+    native = F.concat(F.lit("{"), fields, F.lit(',"attempts":"'), (F.col("o_custkey") % 4).cast("string"), F.lit('"}'))
+    wrapped = F.concat(F.lit('{"attempts":null,"data":{'), fields, F.lit('},"opts":{"attempts":'), (F.col("o_custkey") % 3 + 1).cast("string"), F.lit(".7}}"))
     raw = F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit('{"jobId":'), key)).when(F.col("o_orderkey") % 2 == 0, native).otherwise(wrapped)
     return table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("payload"))

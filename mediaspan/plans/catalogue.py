@@ -31,6 +31,7 @@ def _islands(source: str, sign: str) -> str:
 
 
 def query(sql: str | None = None):
+    """Register a query, and its SQL if there is one."""
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
@@ -83,15 +84,20 @@ def _energy(spark: SparkSession, d: str) -> DataFrame:
     return signal.rms_windows(A.samples(spark, d), 4)
 
 
+def _peaks(spark: SparkSession, d: str) -> DataFrame:
+    totals = A.table(spark, d, "embeddings").select(F.col("vec_id").alias("media_id"), F.lit(3900).alias("total_ms"))
+    return signal.energy_peaks(_energy(spark, d), 250, totals)
+
+
 @query(f"with {_ENERGY} select media_id, win, cast(round(energy * 1000000) as bigint) as energy_millionths from energy")
 def rms_energy(spark: SparkSession, d: str) -> DataFrame:
     return _energy(spark, d).select("media_id", "win", F.round(F.col("energy") * 1_000_000).cast("bigint").alias("energy_millionths"))
 
 
 @query(f"""with {_ENERGY}, n as (select *, lag(energy, 1, 0.0) over w as l, lead(energy, 1, 0.0) over w as r, avg(energy) over p as mean, max(energy) over p as top from energy window w as (partition by media_id order by win), p as (partition by media_id))
-select media_id, win * 250 as start_ms, (win + 1) * 250 as end_ms, cast(round(energy * 1000) as bigint) as intensity from n where (energy >= l and energy > r and energy >= greatest(0.30, mean)) or (energy = top and top > 0)""")
+select media_id, win * 250 as start_ms, least(3900, (win + 1) * 250) as end_ms, (win * 250 + least(3900, (win + 1) * 250)) // 2 as peak_ms, cast(round(energy * 1000) as bigint) as intensity from n where (energy >= l and energy > r and energy >= greatest(0.30, mean)) or (energy = top and top > 0)""")
 def energy_peaks(spark: SparkSession, d: str) -> DataFrame:
-    return signal.energy_peaks(_energy(spark, d), 250).select("media_id", "start_ms", "end_ms", F.round(F.col("intensity") * 1000).cast("bigint").alias("intensity"))
+    return _peaks(spark, d).select("media_id", "start_ms", "end_ms", "peak_ms", F.round(F.col("intensity") * 1000).cast("bigint").alias("intensity"))
 
 
 @query(f"""with {_ENERGY}, spans as (select distinct media_id, s as span_id, s * 500 as start_ms, s * 500 + 900 as end_ms from samples, unnest(generate_series(0, 6)) as t(s))
@@ -273,19 +279,35 @@ def zoom_counts(spark: SparkSession, d: str) -> DataFrame:
     return _zoom(spark, d).groupBy("media_id").agg(F.count_if(F.col("mode") == "ZOOM").alias("zooms"), F.count_if(F.col("mode") == "NORMAL").alias("normals"))
 
 
-_JOBS = """jobs as (select o_orderkey, o_orderkey % 7 <> 0 as valid, 'j' || o_orderkey as j, 'u' || o_orderkey as u, case when o_orderkey % 2 = 0 then o_custkey % 4 else o_custkey % 3 + 1 end::int as n from orders)"""
+_JOBS = """jobs as (select o_orderkey, o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 and o_orderkey % 13 <> 0 as valid, 'j' || o_orderkey as j, 'u' || o_orderkey as u,
+ case when o_orderkey % 7 = 0 then 1 when o_orderkey % 2 = 0 then o_custkey % 4 else o_custkey % 3 + 1 end::int as n from orders)"""
 
 
-@query(f"with {_JOBS} select o_orderkey, case when valid then j end as job_id, case when valid then u end as upload_id, case when valid then n else 1 end as attempts, valid from jobs")
+@query(f"with {_JOBS} select o_orderkey, case when valid then j end as job_id, case when valid then u end as upload_id, case when valid then '/in/' || o_orderkey || '.mp4' end as file_path, case when valid then '2024-01-01T00:00:00Z' end as created_at, n as attempts, valid from jobs")
 def job_decode(spark: SparkSession, d: str) -> DataFrame:
     return jobs.decode_jobs(A.jobs(spark, d)).drop("payload")
 
 
-@query(f"with {_JOBS} select o_orderkey, '{{\"to\":\"READY\",\"metadata\":{{\"processedVideoPath\":\"/out/' || u || '.mp4\",\"attempts\":' || n || '}}}}' as payload, 'http://host/api/uploads/' || u || '/transition' as url, cast(500 * pow(2, n - 1) as bigint) as wait_ms from jobs where valid")
+@query(f"""with {_JOBS} select o_orderkey, '{{{{"to":"AUTO_QA","reason":"{jobs.DONE}","metadata":{{{{"processedVideoPath":"/out/' || u || '.mp4","duration":' || o_orderkey || '.5,"speechSegmentsCount":' || n || ',"silenceRemovedMs":' || o_orderkey * 3
+ || ',"loudness":{{{{"integratedLufs":-14.5,"truePeakDbtp":-1.25,"lra":6.5}}}},"dynamicZoomApplied":' || case when n > 1 then 'true' else 'false' end || ',"zoomShotsCount":' || n || case when n > 1 then ',"zoomStrategy":"pauses"' else '' end
+ || case when n > 2 then ',"shorts":[{{{{"id":"' || j || '"}}}}]' else '' end || '}}}}}}}}' as payload, 'http://host/api/uploads/' || u || '/transition' as url, cast(500 * pow(2, n - 1) as bigint) as wait_ms from jobs where valid""".replace("{{", "{").replace("}}", "}"))
 def success_payload(spark: SparkSession, d: str) -> DataFrame:
     rows = jobs.decode_jobs(A.jobs(spark, d)).where("valid")
-    path = F.concat(F.lit("/out/"), F.col("upload_id"), F.lit(".mp4"))
-    return rows.select("o_orderkey", jobs.success_payload(F.lit("READY"), path, F.col("attempts")).alias("payload"), jobs.transition_url(F.lit("http://host/api//"), F.col("upload_id")).alias("url"), jobs.backoff_ms(F.col("attempts")).alias("wait_ms"))
+    n, key = F.col("attempts"), F.col("o_orderkey")
+    loud = F.struct(F.lit(-14.5).alias("integratedLufs"), F.lit(-1.25).alias("truePeakDbtp"), F.lit(6.5).alias("lra"))
+    shorts = F.when(n > 2, F.array(F.struct(F.col("job_id").alias("id"))))
+    report = jobs.success_metadata(F.concat(F.lit("/out/"), F.col("upload_id"), F.lit(".mp4")), (key + 0.5).cast("decimal(20,1)"), n, key * 3, loud, n > 1, n, F.when(n > 1, "pauses"), F.lit(None).cast("string"), F.lit(None).cast("double"), shorts)
+    return rows.select("o_orderkey", jobs.success_payload(report).alias("payload"), jobs.transition_url(F.lit("http://host/api//"), F.col("upload_id")).alias("url"), jobs.backoff_ms(n).alias("wait_ms"))
+
+
+@query(f"""with {_JOBS} select o_orderkey, '{{"to":"FAILED","reason":"{jobs.FAILED}' || o_orderkey || '","metadata":{{"errorCode":"BAD_JOB"' || case when o_orderkey % 2 = 0 then ',"errorType":"WorkerError"' else '' end || ',"errorDetails":"' || o_orderkey || '"'
+ || case when o_orderkey % 2 = 0 then '' else ',"errorType":"Parse","stage":"decode"' end || '}}}}' as payload, '{{"orderKey":' || o_orderkey || ',"priority":"' || o_orderpriority || '","attempts":2}}' as again from jobs join orders using (o_orderkey) where not valid""")
+def failure_payload(spark: SparkSession, d: str) -> DataFrame:
+    rows = jobs.decode_jobs(A.jobs(spark, d)).where("not valid").join(A.table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
+    key = F.col("o_orderkey")
+    details = F.when(key % 2 != 0, F.create_map(F.lit("errorType"), F.lit("Parse"), F.lit("stage"), F.lit("decode")))
+    job = F.struct(key.alias("orderKey"), F.col("o_orderpriority").alias("priority"))
+    return rows.select("o_orderkey", jobs.failure_payload(F.lit("BAD_JOB"), key.cast("string"), details).alias("payload"), jobs.enqueue_payload(job, F.lit(2)).alias("again"))
 
 
 # The same two by other names, tested against a loop.

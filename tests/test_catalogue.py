@@ -3,8 +3,10 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
+from mediaspan.plans import editing  # noqa: F401
 from mediaspan.plans.catalogue import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -12,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda x: None if x is None or x != x else x.item() if hasattr(x, "item") else x
+    plain = lambda x: None if x is None or x is pd.NA or x != x else x.item() if hasattr(x, "item") else x
     return list(frame.columns), sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False, name=None)), key=str)
 
 

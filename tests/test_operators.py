@@ -51,7 +51,7 @@ def test_text(spark):
 
 def test_stream_quarantines_bad_messages(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    lines = [json.dumps({"jobId": "j", "uploadId": "u", "attempts": "3"}), json.dumps({"data": {"jobId": "k", "uploadId": "v"}}), "{", "[]"]
+    lines = [json.dumps({"jobId": "j", "uploadId": "u", "filePath": "/f", "createdAt": "t", "attempts": "3"}), json.dumps({"data": {"jobId": "k", "uploadId": "v", "filePath": "/f", "createdAt": "t"}}), "{", "[]"]
     (tmp_path / "in" / "a.txt").write_text("\n".join(lines))
     run_queue(read_queue(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(60)
     jobs = spark.read.parquet(str(tmp_path / "out/jobs")).select("job_id", "upload_id", "attempts")
