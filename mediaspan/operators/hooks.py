@@ -47,19 +47,17 @@ def anchors(words: DataFrame, segments: DataFrame, adversatives: Sequence[str] =
     reasons = [F.when(F.col("asks"), "interrogacao retorica"), named("quebra adversativa", F.col("turn")), named("palavra de alto impacto", F.col("strike")), named("frase provocativa", F.col("phrase"))]
     worth = sum((F.when(r.isNotNull(), w).otherwise(0.0) for r, w in zip(reasons, (0.25, 0.25, 0.15, 0.30))), F.lit(0.50))
     rows = rows.withColumns({"reason": F.concat_ws("; ", *reasons), "score": F.round(F.least(F.lit(1.0), worth), 6)}).where("reason <> ''")
-    rows = rows.select(KEY, "word_idx", "word", "start_ms", "end_ms", "score", "reason")
-    points = rows.select(KEY, F.col("word_idx").alias("point_id"), F.lit(0).alias("kind"), F.col("start_ms").alias("at_ms"))
-    held = intervals.first_segments(points, segments).select(KEY, F.col("point_id").alias("word_idx"), F.col("seg.seg_idx").alias("seg_idx"))
-    return rows.join(held, [KEY, "word_idx"], "left")
+    rows = rows.select(KEY, "word_idx", "word", "start_ms", "end_ms", "score", "reason", F.col("start_ms").alias("at_ms"))
+    return intervals.first_segments(rows, segments).withColumn("seg_idx", F.col("seg.seg_idx")).drop("seg", "at_ms")
 
 
 def texts_within(spans: DataFrame, words: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
-    """Spans that hold whole words, with their number, their text (220 characters at most) and ``hook_text``, the words of the first five seconds."""
+    """Spans (each once) that hold whole words, with their number, their text (220 characters at most) and ``hook_text``, the words of the first five seconds."""
     items = words.select(KEY, "word_idx", "word", F.col("start_ms").alias("item_start_ms"), F.col("end_ms").alias("item_end_ms"))
     held = intervals.contained(items, spans, bucket_ms)
     listed = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["word"]), " ")
     place = F.struct("item_start_ms", "item_end_ms", "word_idx", "word")
-    return held.groupBy(KEY, "span_id").agg(F.count("*").alias("n_words"), text.clip_text(listed(place)).alias("text"), listed(F.when(F.col("item_end_ms") <= F.col("start_ms") + 5000, place)).alias("hook_text"))
+    return held.groupBy(*spans.columns).agg(F.count("*").alias("n_words"), text.clip_text(listed(place)).alias("text"), listed(F.when(F.col("item_end_ms") <= F.col("start_ms") + 5000, place)).alias("hook_text"))
 
 
 def candidates(words: DataFrame, segments: DataFrame, energy: DataFrame | None = None, step_ms: int = 250, **lists: Sequence[str]) -> DataFrame:
@@ -71,31 +69,37 @@ def candidates(words: DataFrame, segments: DataFrame, energy: DataFrame | None =
     rows = best.join(spans, [KEY, "seg_idx"], "left").select(KEY, F.col("seg_idx").alias("span_id"), F.coalesce("s0", "a.start_ms").alias("start_ms"), F.coalesce("s1", "a.end_ms").alias("end_ms"), "a.score", "a.reason")
     boost = F.lit(0.0)
     if energy is not None:
-        rows = rows.join(signal.span_energy(rows, energy, step_ms).select(KEY, "span_id", "max_energy"), [KEY, "span_id"])
+        rows = signal.span_energy(rows, energy, step_ms)
         boost = F.when(F.col("max_energy") >= 0.85, 0.15).when(F.col("max_energy") >= 0.60, 0.10).otherwise(0.0)
     return rows.select(KEY, "span_id", "start_ms", "end_ms", "reason", F.round(F.least(F.lit(1.0), F.col("score") + boost), 6).alias("confidence"))
 
 
+def _sides(rows: DataFrame, first: Column, second: Column) -> DataFrame:
+    """Each row twice, with ``kind`` a at the first time and b at the second; its other columns as ``more``."""
+    two = F.array(F.struct(F.lit("a").alias("kind"), first.alias("at_ms")), F.struct(F.lit("b").alias("kind"), second.alias("at_ms")))
+    return rows.select(KEY, F.struct(*[c for c in rows.columns if c != KEY]).alias("more"), F.explode(two).alias("p")).select(KEY, "more", "p.*")
+
+
 def snap(spans: DataFrame, words: DataFrame, segments: DataFrame | None = None) -> DataFrame:
-    """Spans from the first word that ends after their start (else the last word) to the last one that starts before their end, not before the first; then to the segments that hold these words' starts. Media without words give none."""
+    """Spans (each span_id once; other columns stay) from the first word that ends after their start (else the last word) to the last one that starts before their end, not before the first; then to the segments that hold these words' starts. Media without words give none."""
     word = F.struct("start_ms", "end_ms", "word_idx")
-    sides = lambda rows, a, b, *more: rows.select(KEY, *more, F.explode(F.array(F.struct(F.lit("a").alias("kind"), a.alias("at_ms")), F.struct(F.lit("b").alias("kind"), b.alias("at_ms")))).alias("p"))
-    probes = sides(spans, F.col("start_ms") + 1, F.col("end_ms") - 1, "span_id").select(KEY, "span_id", "p.*")
-    bounds = sides(words.withColumn("v", word), F.col("end_ms"), F.col("start_ms"), "v").select(KEY, "p.*", "v")
-    near = intervals.neighbours(probes, bounds, (KEY, "kind")).groupBy(KEY, "span_id").agg(F.max(F.when(F.col("kind") == "a", F.col("ceiling"))).alias("a"), F.max(F.when(F.col("kind") == "b", F.col("floor"))).alias("b"))
-    rows = near.join(words.groupBy(KEY).agg(F.max(word).alias("last")), KEY).withColumn("a", F.coalesce("a", "last"))
+    one = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    bounds = _sides(words.select(KEY, "start_ms", "end_ms", "word_idx"), F.col("end_ms"), F.col("start_ms")).withColumn("v", F.struct("more.start_ms", "more.end_ms", "more.word_idx")).drop("more")
+    near = intervals.neighbours(_sides(spans, F.col("start_ms") + 1, F.col("end_ms") - 1), bounds, (KEY, "kind"))
+    near = near.groupBy(KEY, F.col("more.span_id")).agg(F.any_value("more").alias("span"), one("a", "ceiling").alias("a"), one("b", "floor").alias("b"))
+    rows = near.join(words.groupBy(KEY).agg(F.max(word).alias("last")), KEY).withColumn("a", F.coalesce("a", "last")).drop("last")
     rows = rows.withColumn("b", F.greatest("a", F.coalesce("b", "a")))
     start, end = F.col("a.start_ms"), F.col("b.end_ms")
     if segments is not None:
-        points = sides(rows, F.col("a.start_ms"), F.col("b.start_ms"), "span_id").select(KEY, F.col("span_id").alias("point_id"), "p.*")
-        held = intervals.first_segments(points, segments).groupBy(KEY, F.col("point_id").alias("span_id")).agg(F.max(F.when(F.col("kind") == "a", F.col("seg"))).alias("sa"), F.max(F.when(F.col("kind") == "b", F.col("seg"))).alias("sb"))
-        rows = rows.join(held, [KEY, "span_id"], "left")
+        held = intervals.first_segments(_sides(rows, F.col("a.start_ms"), F.col("b.start_ms")), segments)
+        rows = held.groupBy(KEY, F.col("more.span_id")).agg(F.any_value("more").alias("m"), one("a", "seg").alias("sa"), one("b", "seg").alias("sb")).select(KEY, "span_id", "m.span", "m.a", "m.b", "sa", "sb")
         start, end = F.coalesce("sa.start_ms", start), F.coalesce("sb.end_ms", end)
-    return rows.select(KEY, "span_id", start.alias("start_ms"), end.alias("end_ms"))
+    others = [F.col("span")[c].alias(c) for c in spans.columns if c not in (KEY, "span_id", "start_ms", "end_ms")]
+    return rows.select(KEY, "span_id", start.alias("start_ms"), end.alias("end_ms"), *others)
 
 
 def fit(spans: DataFrame, starts: DataFrame, ends: DataFrame, least: int, most: int) -> DataFrame:
-    """Spans of ``least`` to ``most`` ms. A short one grows to earlier starts, as far as ``most`` allows, then to later ends; a long one falls back to earlier ends, then to later starts. Those that cannot be fitted go.
+    """Spans (each span_id once; other columns stay) of ``least`` to ``most`` ms. A short one grows to earlier starts, as far as ``most`` allows, then to later ends; a long one falls back to earlier ends, then to later starts. Those that cannot be fitted go.
 
     Walking from bound to bound ends at a bound that one range lookup gives: two rounds of lookups, however many bounds a walk would pass. ``starts`` and ``ends``: media_id, at_ms.
     """
@@ -105,11 +109,13 @@ def fit(spans: DataFrame, starts: DataFrame, ends: DataFrame, least: int, most:
 
     def look(rows: DataFrame, asked: dict[str, tuple[str, str, Column]]) -> DataFrame:
         """``rows`` with one column for each (kind, side, time) asked."""
-        probes = rows.select(KEY, "span_id", F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), at.cast("bigint").alias("at_ms")) for name, (kind, _, at) in asked.items()])).alias("p")).select(KEY, "span_id", "p.*")
-        found = intervals.neighbours(probes, bounds, (KEY, "kind"))
-        return rows.join(found.groupBy(KEY, "span_id").agg(*[F.max(F.when(F.col("name") == name, F.col(side))).alias(name) for name, (_, side, _) in asked.items()]), [KEY, "span_id"])
+        times = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), at.cast("bigint").alias("at_ms")) for name, (kind, _, at) in asked.items()]))
+        probes = rows.select(KEY, F.struct(*[c for c in rows.columns if c != KEY]).alias("more"), times.alias("p")).select(KEY, "more", "p.*")
+        found = intervals.neighbours(probes, bounds, (KEY, "kind")).groupBy(KEY, F.col("more.span_id"))
+        found = found.agg(F.any_value("more").alias("more"), *[F.max(F.when(F.col("name") == name, F.col(side))).alias(name) for name, (_, side, _) in asked.items()])
+        return found.select(KEY, "more.*", *asked)
 
-    rows = look(spans.select(KEY, "span_id", a.cast("bigint").alias("start_ms"), b.cast("bigint").alias("end_ms")), {
+    rows = look(spans.withColumns({"start_ms": a.cast("bigint"), "end_ms": b.cast("bigint")}), {
         "grown": ("s", "floor", b - least), "earliest": ("s", "ceiling", b - most), "cut": ("e", "floor", a + most), "least_end": ("e", "ceiling", a + least),
     })
     rows = rows.withColumns({
@@ -127,7 +133,8 @@ def fit(spans: DataFrame, starts: DataFrame, ends: DataFrame, least: int, most:
         .when(length > most, F.coalesce(pair(a, F.col("cut")), pair(late, F.col("to_"))))
         .otherwise(pair(a, b))
     )
-    return rows.withColumn("f", fitted).where("f is not null").select(KEY, "span_id", F.col("f.x").alias("start_ms"), F.col("f.y").alias("end_ms"))
+    others = [c for c in spans.columns if c not in (KEY, "span_id", "start_ms", "end_ms")]
+    return rows.withColumn("f", fitted).where("f is not null").select(KEY, "span_id", F.col("f.x").alias("start_ms"), F.col("f.y").alias("end_ms"), *others)
 
 
 def strongest_peak(spans: DataFrame, peaks: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
@@ -140,11 +147,8 @@ def strongest_peak(spans: DataFrame, peaks: DataFrame, bucket_ms: int = 60_000)
 
 def scored(spans: DataFrame, words: DataFrame, energy: DataFrame | None = None, step_ms: int = 250, semantic_weight: float = 0.7, energy_weight: float = 0.3, least: float = 0.6) -> DataFrame:
     """Spans (with confidence) that hold words, with texts and a score of confidence and largest energy (0.5 without energies); those below ``least`` go."""
-    rows = spans.join(texts_within(spans, words), [KEY, "span_id"])
-    if energy is None:
-        rows = rows.withColumn("max_energy", F.lit(0.5))
-    else:
-        rows = rows.join(signal.span_energy(spans, energy, step_ms).select(KEY, "span_id", "max_energy"), [KEY, "span_id"])
+    rows = spans.withColumn("max_energy", F.lit(0.5)) if energy is None else signal.span_energy(spans, energy, step_ms).drop("mean_energy")
+    rows = texts_within(rows, words)
     sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence")))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), semantic_weight * sure + energy_weight * F.col("max_energy")))
     rows = rows.withColumn("score", score).where(F.col("score") >= least)
@@ -158,6 +162,6 @@ def cuts(words: DataFrame, segments: DataFrame, totals: DataFrame, energy: DataF
     found = found.withColumns({"start_ms": clamp("start_ms"), "end_ms": clamp("end_ms")}).where("end_ms > start_ms")
     bounds = segments if by_segments else words
     starts, ends = bounds.select(KEY, F.col("start_ms").alias("at_ms")).distinct(), bounds.select(KEY, F.col("end_ms").alias("at_ms")).distinct()
-    fitted = fit(snap(found, words, segments if by_segments else None), starts, ends, least_ms, most_ms)
-    rows = scored(fitted.join(found.select(KEY, "span_id", "confidence"), [KEY, "span_id"]), words, energy, step_ms, least=least)
+    fitted = fit(snap(found.select(KEY, "span_id", "start_ms", "end_ms", "confidence"), words, segments if by_segments else None), starts, ends, least_ms, most_ms)
+    rows = scored(fitted, words, energy, step_ms, least=least)
     return selection.suppress_overlaps(rows.select(KEY, "start_ms", "end_ms", "score"), most_iou, min(keep, 3))

@@ -62,10 +62,17 @@ def interval_join(points: DataFrame, spans: DataFrame, bucket_ms: int, at: str =
     return left.join(right, [KEY, "bucket"]).where(f"{at} >= start_ms and {at} < end_ms").drop("bucket")
 
 
+def first_segments(points: DataFrame, segments: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
+    """``points`` (media_id, at_ms, others; each row once) with ``seg``, the first segment (seg_idx, start_ms, end_ms) by seg_idx that holds them; null for none. A point lies in one time bucket, so the join's shuffle serves the aggregate, too."""
+    left = points.withColumn("bucket", F.expr(f"at_ms div {bucket_ms}"))
+    right = segments.where("end_ms > start_ms").select(F.col(KEY).alias("_media"), F.explode(F.expr(f"sequence(start_ms div {bucket_ms}, (end_ms - 1) div {bucket_ms})")).alias("_bucket"), F.struct("seg_idx", "start_ms", "end_ms").alias("_seg"))
+    held = left.join(right, F.expr(f"{KEY} = _media and bucket = _bucket and at_ms >= _seg.start_ms and at_ms < _seg.end_ms"), "left")
+    return held.groupBy(*points.columns, "bucket").agg(F.min("_seg").alias("seg")).drop("bucket")
+
+
 def point_in_segment(points: DataFrame, segments: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
-    """First segment (by seg_idx) that holds each point; null where none does. ``points``: media_id, point_id, at_ms."""
-    hits = interval_join(points, segments.select(KEY, "seg_idx", "start_ms", "end_ms"), bucket_ms).groupBy(KEY, "point_id").agg(F.min("seg_idx").alias("seg_idx"))
-    return points.join(hits, [KEY, "point_id"], "left")
+    """First segment (by seg_idx) that holds each point; null where none does. ``points``: media_id, point_id, at_ms, each once."""
+    return first_segments(points, segments, bucket_ms).withColumn("seg_idx", F.col("seg.seg_idx")).drop("seg")
 
 
 def contained(items: DataFrame, cuts: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
@@ -96,12 +103,6 @@ def neighbours(probes: DataFrame, bounds: DataFrame, by: tuple[str, ...] = (KEY,
     return rows.where("probe is not null").select(*by, "at_ms", "probe.*", F.when(timed, F.col("floor")).alias("floor"), F.when(timed, F.col("ceiling")).alias("ceiling"))
 
 
-def first_segments(points: DataFrame, segments: DataFrame, bucket_ms: int = 60_000) -> DataFrame:
-    """For each point (media_id, point_id, kind, at_ms) that some segment holds: the first one by seg_idx, as ``seg`` (seg_idx, start_ms, end_ms)."""
-    hits = interval_join(points, segments.select(KEY, "seg_idx", "start_ms", "end_ms"), bucket_ms)
-    return hits.groupBy(KEY, "point_id", "kind").agg(F.min(F.struct("seg_idx", "start_ms", "end_ms")).alias("seg"))
-
-
 def align_to_pauses(windows: DataFrame, pauses: DataFrame, totals: DataFrame, tolerance_ms: int) -> DataFrame:
     """Windows (media_id, span_id, start_ms, end_ms): the start moves back to the nearest pause's end, the end on to the nearest pause's start, each within the tolerance; a window that would turn round stays."""
     sides = windows.select(KEY, "span_id", F.explode(F.array(F.struct(F.lit("in").alias("kind"), F.col("start_ms").alias("at_ms")), F.struct(F.lit("out").alias("kind"), F.col("end_ms").alias("at_ms")))).alias("p")).select(KEY, "span_id", "p.*")

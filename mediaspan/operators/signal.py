@@ -35,10 +35,10 @@ def bound_confidence(spans: DataFrame, probs: DataFrame, step_ms: int = 32) -> D
 
 
 def span_energy(spans: DataFrame, energy: DataFrame, step_ms: int) -> DataFrame:
-    """Mean and largest energy of the windows that each span (span_id, start_ms, end_ms) meets, from time 0 on; both 0 where it meets none."""
+    """``spans`` (span_id, start_ms, end_ms, others) with the mean and largest energy of the windows that each meets, from time 0 on; both 0 where it meets none."""
     wins = spans.withColumn("win", F.explode_outer(F.expr(f"if(end_ms > greatest(0, start_ms), sequence(greatest(0, start_ms) div {step_ms}, (end_ms + {step_ms - 1}) div {step_ms} - 1), null)")))
     hit = wins.join(energy, [KEY, "win"], "left")
-    return hit.groupBy(KEY, "span_id").agg(F.coalesce(F.avg("energy"), F.lit(0.0)).alias("mean_energy"), F.coalesce(F.max("energy"), F.lit(0.0)).alias("max_energy"))
+    return hit.groupBy(*spans.columns).agg(F.coalesce(F.avg("energy"), F.lit(0.0)).alias("mean_energy"), F.coalesce(F.max("energy"), F.lit(0.0)).alias("max_energy"))
 
 
 def hysteresis(probs: DataFrame, totals: DataFrame, on: float, off: float, step_ms: int, least_speech_ms: int, least_silence_ms: int) -> DataFrame:
