@@ -139,12 +139,8 @@ def boundary_asof(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_SPEECH} select a.event_id as a_id, b.event_id as b_id, cast(floor(1000000.0 * (least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)) / (a.end_ms - a.start_ms + b.end_ms - b.start_ms - (least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms)))) as bigint) as iou_millionths
 from speech a join speech b on a.media_id = b.media_id and a.event_id < b.event_id and least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms)""")
 def temporal_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.speech(spark, d).where("end_ms > start_ms").withColumn("bucket", F.explode(F.expr("sequence(start_ms div 200000, (end_ms - 1) div 200000)")))
-    a, b = rows.alias("a"), rows.alias("b")
-    # only in the bucket in which the overlap begins
-    pairs = a.join(b, ["media_id", "bucket"]).where("a.event_id < b.event_id and least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms) and bucket = greatest(a.start_ms, b.start_ms) div 200000")
-    iou = intervals.temporal_iou(*(F.col(c) for c in ("a.start_ms", "a.end_ms", "b.start_ms", "b.end_ms")))
-    return pairs.select(F.col("a.event_id").alias("a_id"), F.col("b.event_id").alias("b_id"), F.floor(iou * 1_000_000).alias("iou_millionths"))
+    pairs = intervals.overlapping_pairs(A.speech(spark, d), "event_id", 200_000)
+    return pairs.select("a_id", "b_id", F.floor(F.col("iou") * 1_000_000).alias("iou_millionths"))
 
 
 def _greedy_sql(source: str, fits: str, keep: int, out: str) -> str:
@@ -276,7 +272,7 @@ def zoom_plan(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_PLAN} select media_id, count(*) filter (mode = 'ZOOM') as zooms, count(*) filter (mode = 'NORMAL') as normals from shots group by 1")
 def zoom_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _zoom(spark, d).groupBy("media_id").agg(F.count_if(F.col("mode") == "ZOOM").alias("zooms"), F.count_if(F.col("mode") == "NORMAL").alias("normals"))
+    return selection.shot_counts(_zoom(spark, d))
 
 
 _JOBS = """jobs as (select o_orderkey, o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 and o_orderkey % 13 <> 0 as valid, 'j' || o_orderkey as j, 'u' || o_orderkey as u,
