@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import BLANKS, Words, mix, separators, slices
+from .arrays import BLANKS, Words, separators, slices
+from .shared import stash
 
 #: Labelled documents that the fit reads at most, by the least hash of their id; and words that it keeps at most.
 SAMPLE, VOCABULARY = 2_000, 50_000
@@ -128,11 +129,52 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """word (hash; null counts documents), bad and all: in how many toxic documents, and in how many at all, each word stands. ``rows``: doc_id, text, toxic (0 or 1).
+
+    Every row counts once, so a repeated row counts again. Counts of a slice of documents are added up before the exchange.
+    """
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            toxic = batch.column(2).to_numpy(zero_copy_only=False)
+            for at, w in slices(batch.column(1), _CUTS, True):
+                n = len(w.first) - 1
+                doc = np.repeat(np.arange(n), np.diff(w.first))
+                order = np.lexsort((w.hashes, doc))
+                h, d = w.hashes[order], doc[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+                word, of = np.unique(h[new], return_inverse=True)
+                bad = toxic[at : at + n].astype(np.int64)
+                in_bad = np.bincount(of, bad[d[new]], minlength=len(word)).astype(np.int64)
+                in_all = np.bincount(of, minlength=len(word)).astype(np.int64)
+                words = pa.array([*word.view(np.int64).tolist(), None], pa.int64())
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.append(in_bad, bad.sum())), pa.array(np.append(in_all, n))], ["word", "bad", "all"])
+
+    return rows.mapInArrow(count, "word long, bad long, all long").groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("all").alias("all"))
+
+
 def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Field:
-    """Fit on at most ``sample`` labelled documents that are not held out. Without any of both classes, every score is the labels' mean (0.1 where there is none)."""
+    """Fit on labelled documents that are not held out: words and their token labels come from counts over all of them, weights from at most ``sample``.
+
+    A repeated label counts once, toxic if one of them says so; labels without a document, null labels and null ids are left out. Without documents of both
+    classes, every score is the labels' mean (0.1 where there is none). The driver gets ``vocabulary`` words and the words of ``sample`` documents at most.
+    """
     chosen = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    counts = stash(word_counts(texts.join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))), "words")
+    total = counts.where("word is null").first()
+    n_bad, n_all = max(1, total["bad"] if total else 0), max(1, total["all"] if total else 0)
+    odds = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("all") - F.col("bad") + 0.5) / (n_all - n_bad + 1))
+    ranked = counts.where("word is not null and bad >= 3").select("word", odds.alias("odds"), (F.col("bad") / F.col("all")).alias("share"), (F.col("bad") * F.log(F.greatest(odds, F.lit(1.0)))).alias("strength"))
+    kept = ranked.orderBy(F.desc("strength"), "word").limit(vocabulary).toArrow()
+    word = kept["word"].to_numpy().astype(np.int64).view(_U)
+    order = np.argsort(word)
+    field = Field(word[order])
+
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
 
     def digest(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -153,23 +195,10 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabula
     hashes = np.concatenate(words) if words else np.zeros(0, _U)
     begin = np.concatenate([np.frombuffer(x, "<i4") + a for x, a in zip(table["begin"].to_pylist(), first)]).astype(np.int64) if words else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(words)), sizes)
-    once = np.unique(mix(hashes + mix(doc.astype(_U))), return_index=True)[1]  # a word counts once in a document
-    vocab, inverse = np.unique(hashes[once], return_inverse=True)
     bad = toxic == 1
-    in_bad = np.bincount(inverse, bad[doc[once]], minlength=len(vocab))
-    in_all = np.bincount(inverse, minlength=len(vocab))
-    n_bad, n_all = max(1, int(bad.sum())), max(1, len(bad))
-    odds = ((in_bad + 0.5) / (n_bad + 1)) / ((in_all - in_bad + 0.5) / (n_all - n_bad + 1))
-    strength = in_bad * np.log(np.maximum(odds, 1))
-    order = np.argsort(-strength, kind="stable")[:vocabulary]
-    order = order[in_bad[order] >= 3]
-    kept = np.sort(vocab[order])
-    field = Field(kept)
     if len(words) and 0 < bad.sum() < len(bad):
         known = field.known(hashes)
-        share = (in_bad / np.maximum(in_all, 1))[np.searchsorted(vocab, kept)]
-        ratio = odds[np.searchsorted(vocab, kept)]
-        flagged = np.append((share >= 0.5) & (ratio >= 4), False)
+        flagged = np.append((kept["share"].to_numpy()[order] >= 0.5) & (kept["odds"].to_numpy()[order] >= 4), False)
         marks = (flagged[known] & (known >= 0) & bad[doc]).astype(np.int64)
         field.fit(known, begin, marks)
         field.calibrate(field.features(field.marginals(known, begin)[0], first), toxic.astype(float))
