@@ -18,11 +18,11 @@ from .arrays import BLANKS, Words, separators, slices
 from .shared import stash
 
 #: Labelled documents that the fit reads at most, by the least hash of their id; and words that it keeps at most.
-SAMPLE, VOCABULARY = 2_000, 50_000
+SAMPLE, VOCABULARY = 4_000, 50_000
 #: Tokens of a sentence at most; a longer one is cut there.
 SENTENCE = 48
-#: Score from which a document is called toxic.
-THRESHOLD = 0.3
+#: Score from which a document is called toxic, and marginal from which a token adds to its score.
+THRESHOLD, FAINT = 0.3, 0.2
 _CUTS = BLANKS | separators(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789")
 _STOPS = separators(b".!?\n")
 _U = np.uint64
@@ -102,13 +102,13 @@ class Field:
             self.weights, self.bias, self.moves = theta[:size], float(theta[size]), theta[size + 1 :].reshape(2, 2)
 
     def features(self, p: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """For each text: 1, the largest marginal, log of 1 + their sum."""
+        """For each text: 1, the largest marginal, log of 1 + the sum of those from FAINT on: the small ones of a long clean text don't add up."""
         out = np.zeros((len(first) - 1, 3))
         out[:, 0] = 1
         full = first[1:] > first[:-1]
         if full.any():
             out[full, 1] = np.maximum.reduceat(p, first[:-1][full])
-            out[full, 2] = np.log1p(np.add.reduceat(p, first[:-1][full]))
+            out[full, 2] = np.log1p(np.add.reduceat(np.where(p >= FAINT, p, 0.0), first[:-1][full]))
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
