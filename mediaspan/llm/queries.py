@@ -7,6 +7,7 @@ from .chat_format import OP10_SQL, op10_chat_formatting
 from .decontaminate import op7_benchmark_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
 from .line_dedup import op2_line_dedup
+from .periodic_runs import op11_periodic_runs
 from .substring_dedup import op8_substring_dedup
 from .toxicity import op5_toxicity
 from .url_filter import OP4_SQL, op4_url_filters
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 SQL = {"op4_url_filters": OP4_SQL, "op6_warc_fixity_audit": OP6_SQL, "op10_chat_formatting": OP10_SQL}
