@@ -8,6 +8,7 @@ from .decontaminate import op7_benchmark_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
 from .line_dedup import op2_line_dedup
 from .periodic_runs import op11_periodic_runs
+from .sanitise import op13_pii
 from .spelling_variants import op12_spelling_variants
 from .substring_dedup import op8_substring_dedup
 from .toxicity import op5_toxicity
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_pii": op13_pii,
 }
 SQL = {"op4_url_filters": OP4_SQL, "op6_warc_fixity_audit": OP6_SQL, "op10_chat_formatting": OP10_SQL}
