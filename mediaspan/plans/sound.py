@@ -37,12 +37,11 @@ s as (select media_id, k * 64 + unnest(range(len(embedding))) as pos, unnest(emb
 
 
 def _low_pass_sql(name: str, cutoff: str) -> str:
-    """CTEs that end in ``name`` (media_id, pos, value): a convolution with the filter's response, which is summed frequency by frequency."""
-    return f"""{name}_n as (select media_id, n, cast(pow(2, ceil(log2(n))) as bigint) as size from items), {name}_g as (select size, unnest(range(size)) as f from (select distinct size from {name}_n)),
-{name}_w as (select size, f, least(f, size - f) as b, round_even({cutoff} / ({RATE} / 2.0) * (size // 2), 0) as lo, least(round_even({cutoff} * 1.3 / ({RATE} / 2.0) * (size // 2), 0), size // 2) as hi from {name}_g),
-{name}_a as (select size, f, case when b < lo then 1.0 when b < hi then 1 - (b - lo) / greatest(1, hi - lo - 1) else 0.0 end as gain from {name}_w),
-{name}_k as (select a.size, g.f as lag, sum(gain * cos(2 * pi() * (a.f * g.f % a.size) / a.size)) / a.size as h from {name}_a a join {name}_g g on g.size = a.size where gain > 0 group by a.size, g.f),
-{name} as (select o.media_id, o.pos, sum(i.value * h) as value from s o join s i on i.media_id = o.media_id join {name}_n n on n.media_id = o.media_id join {name}_k k on k.size = n.size and k.lag = (o.pos - i.pos + n.size) % n.size group by all)"""
+    """CTEs that end in ``name`` (media_id, pos, value): every frequency is summed over all samples and every sample over all frequencies."""
+    return f"""{name}_n as materialized (select media_id, pos, value, cast(pow(2, ceil(log2(n))) as bigint) as size from s join items using (media_id)),
+{name}_g as materialized (select size, f, least(f, size - f) as b, round_even({cutoff} / ({RATE} / 2.0) * (size // 2), 0) as lo, least(round_even({cutoff} * 1.3 / ({RATE} / 2.0) * (size // 2), 0), size // 2) as hi from (select size, unnest(range(size)) as f from (select distinct size from {name}_n))),
+{name}_f as materialized (select media_id, size, f, (case when b < lo then 1.0 when b < hi then 1 - (b - lo) / greatest(1, hi - lo - 1) else 0.0 end) / size as gain, sum(value * cos(2 * pi() * (f * pos % size) / size)) as re, sum(value * sin(2 * pi() * (f * pos % size) / size)) as im from {name}_n join {name}_g using (size) where b < greatest(lo, hi) group by media_id, size, f, b, lo, hi),
+{name} as materialized (select media_id, pos, sum(gain * (re * cos(2 * pi() * (f * pos % size) / size) + im * sin(2 * pi() * (f * pos % size) / size))) as value from {name}_n join {name}_f using (media_id, size) group by media_id, pos)"""
 
 
 _micro = lambda df: df.select("media_id", "pos", F.round(F.col("value") * 1_000_000).cast("bigint").alias("value"))
