@@ -259,9 +259,9 @@ def _zoom(spark: SparkSession, d: str) -> DataFrame:
 
 _PLAN = f"""with recursive {_SPEECH}, {_SHORT}, w as (select media_id, total_ms, -1 as idx, 0::bigint as a, 0::bigint as b from short
  union all select media_id, total_ms, idx + 1, b, case when total_ms - b <= 8000 then total_ms when total_ms - c2 <= 8000 then total_ms else c2 end
- from (select *, case when total_ms - c < 8000 and total_ms - b <= 15000 then total_ms else c end as c2 from (
-  select w.*, coalesce(least(greatest((select q.end_ms from pauses q where q.media_id = w.media_id and (q.end_ms between w.b + 8000 and least(total_ms, w.b + 15000) or q.start_ms between w.b + 8000 and least(total_ms, w.b + 15000))
-   order by abs((q.start_ms + q.end_ms) / 2 - least(total_ms, w.b + 10000)), q.start_ms, q.end_ms limit 1), w.b + 8000), least(total_ms, w.b + 15000)), least(total_ms, w.b + 10000)) as c from w where w.b < w.total_ms))),
+ from (select *, case when total_ms - c < 8000 and total_ms - b <= 15000 then total_ms else c end as c2 from (select *, case when p is null then least(total_ms, b + 10000) else least(greatest(p, b + 8000), least(total_ms, b + 15000)) end as c from (
+  select w.*, (select q.end_ms from pauses q where q.media_id = w.media_id and (q.end_ms between w.b + 8000 and least(total_ms, w.b + 15000) or q.start_ms between w.b + 8000 and least(total_ms, w.b + 15000))
+   order by abs((q.start_ms + q.end_ms) / 2 - least(total_ms, w.b + 10000)), q.start_ms, q.end_ms limit 1) as p from w where w.b < w.total_ms)))),
 shots as (select media_id, idx as shot_idx, a as start_ms, b as end_ms, case when idx % 2 = 0 then 'NORMAL' else 'ZOOM' end as mode from w where idx >= 0)"""
 
 

@@ -57,3 +57,38 @@ def test_stream_quarantines_bad_messages(spark, tmp_path):
     jobs = spark.read.parquet(str(tmp_path / "out/jobs")).select("job_id", "upload_id", "attempts")
     assert got(jobs) == [("j", "u", 3), ("k", "v", 1)]
     assert spark.read.parquet(str(tmp_path / "out/quarantine")).count() == 2
+
+
+def test_shots_of_a_long_item(spark):
+    """One item of many pauses, some of them long and overlapping, against a walk over all pauses at each cut; 100,000 pauses take seconds."""
+    import random
+    import time
+
+    def plain(total, pauses):
+        cuts, at = [0], 0
+        while at < total:
+            if total - at <= 8000:
+                cuts = [*cuts[:-1], total] if len(cuts) > 1 else [0, total]
+                break
+            low, high, ideal = at + 8000, min(total, at + 15000), min(total, at + 10000)
+            near = [(abs((s + e) / 2 - ideal), s, e) for s, e in pauses if low <= e <= high or low <= s <= high]
+            cut = min(max(min(near)[2], low), high) if near else ideal
+            if total - cut < 8000 and total - at <= 15000:
+                cut = total
+            cuts.append(cut)
+            at = cut
+        return list(zip(cuts, cuts[1:]))
+
+    rng = random.Random(2)
+    items = {m: (rng.randint(1, 400_000), [(s, s + rng.choice([0, 300, 9_000, 40_000])) for s in (rng.randint(-5_000, 420_000) for _ in range(rng.choice([0, 3, 200])))]) for m in range(40)}
+    totals = spark.createDataFrame([(m, t) for m, (t, _) in items.items()], "media_id int, total_ms long")
+    pauses = spark.createDataFrame([(m, *p) for m, (_, ps) in items.items() for p in ps], "media_id int, start_ms long, end_ms long")
+    got = {}
+    for r in selection.plan_shots(totals, pauses).orderBy("media_id", "shot_idx").collect():
+        got.setdefault(r.media_id, []).append((r.start_ms, r.end_ms))
+    assert got == {m: plain(*x) for m, x in items.items()}
+    total = 300_000_000
+    many = spark.range(100_000).selectExpr("1 as media_id", "id * 3000 as start_ms", "id * 3000 + 400 as end_ms")
+    began = time.perf_counter()
+    n = selection.plan_shots(spark.createDataFrame([(1, total)], "media_id int, total_ms long"), many).count()
+    assert n > 25_000 and time.perf_counter() - began < 60
