@@ -23,9 +23,16 @@ def record_hashes(records: DataFrame) -> DataFrame:
     return records.select("file", F.col("offset").cast("long").alias("offset"), "record_id", digest.alias("digest"))
 
 
+def _field(value: Column) -> Column:
+    """A field with its length before it, so that no other list of fields reads alike; a null one is ``-``."""
+    text = value.cast("string")
+    return F.when(text.isNull(), "-").otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text))
+
+
 def _folded(order: list[str | Column], digest: Column) -> Column:
     """Hash of a bounded group's entries in order."""
-    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, digest.alias("d")))), lambda x: F.concat_ws(":", *[x[f] for f in [*order, "d"]])), "|").cast("binary"), 256)
+    entries = F.transform(F.sort_array(F.collect_list(F.struct(*order, digest.alias("d")))), lambda x: F.concat(*[_field(x[f]) for f in [*order, "d"]]))
+    return F.sha2(F.array_join(entries, "").cast("binary"), 256)
 
 
 def merkle_levels(hashes: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
@@ -62,7 +69,8 @@ def audit(one: DataFrame, two: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout:
         if bad is not None:
             up = bad.select("file", F.col("node").alias("up"))
             x, y = (z.withColumn("up", F.expr(f"node div {fanout}")).join(up, ["file", "up"], "left_semi") for z in (x, y))
-        both = x.select("file", "node", F.col("digest").alias("x")).join(y.select("file", "node", F.col("digest").alias("y")), ["file", "node"], "full")
+        sides = [z.select("file", "node", F.struct("digest", "records").alias(name)) for z, name in ((x, "x"), (y, "y"))]
+        both = sides[0].join(sides[1], ["file", "node"], "full")
         bad = stash(both.where("not (x <=> y)").select("file", "node"), "differ")
     inside = lambda z, one: z.withColumn("node", F.expr(f"offset div {leaf_bytes}")).join(bad, ["file", "node"], "left_semi").withColumn("d", F.lit(one))
     rows = inside(a, 1).unionByName(inside(b, -1)).groupBy("file", "record_id", "offset", "digest").agg(F.sum("d").alias("d")).where("d <> 0")
