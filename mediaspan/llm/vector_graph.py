@@ -3,8 +3,8 @@
 Vectors within the radius of their nearest centre ("close" ones, as in any large group of near vectors) are compared exactly with all vectors that can be within the
 radius of them by the triangle inequality, so no number of partners is too large. Only pairs of two other vectors are left to the graph.
 
-These are dealt to overlapping shards: each goes to its three nearest centres and, where a centre has more vectors than a shard holds, to one of
-that centre's shards, drawn along a random direction so that neighbours stay together. Every shard builds a robust-pruned graph; adjacency lists of a vector
+These are dealt to overlapping shards: each goes to its three nearest centres and, where a centre has more vectors than a shard holds, to the three nearest
+centres among those of its vectors, and so on until no shard is too large. Every shard builds a robust-pruned graph; adjacency lists of a vector
 are united over its shards. Then each shard is searched for its own vectors: a greedy search from the medoid reaches the query's
 neighbourhood, and the search range is expanded over the graph while vectors within the radius turn up. Pairs found are verified by cosine in
 double precision. ``recall`` audits the result against brute force.
@@ -16,14 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import mix
 from .shared import components, stash
 
 RADIUS = 0.9
 #: Vectors of a shard at most, about; sample (rows) and number of centres at most.
 SHARD, SAMPLE, CENTRES = 1200, 20_000, 4096
+#: Centres that a vector goes to; of an overfull shard: centres at most, sampled vectors for each, vectors of a task that deals them.
+OVERLAP, FINER, EACH, DEALT = 3, 64, 30, 20_000
 #: Out-degree of a robust-pruned list, its slack, candidates considered, width of the greedy search.
 DEGREE, SLACK, POOL, BEAM = 24, 1.2, 96, 24
 #: Numbers of close vectors that one pass of the exact comparison is given as a broadcast (32 MB); more take several passes. Vectors of a comparison at most.
@@ -34,8 +37,12 @@ def valid_vectors(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """id, v (array of doubles): vectors without null, NaN or infinite components and not all zero."""
     v = F.transform(vector_col, lambda x: x.cast("double"))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("v is not null and id is not null")
-    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return rows.where(F.coalesce(fine, F.lit(False)))
+    return rows.where(_fine("v"))
+
+
+def _fine(v: str) -> Column:
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return F.coalesce(fine, F.lit(False))
 
 
 def _unit(block: np.ndarray) -> np.ndarray:
@@ -47,7 +54,11 @@ def centres(points: DataFrame, n: int, sample: int = SAMPLE, most: int = CENTRES
     """Spherical k-means on a bounded sample (the least hashes); about one centre for each SHARD / 2 of ``n`` vectors, at most ``most``."""
     rows = points.orderBy(F.xxhash64("vid"), "vid").limit(sample).select("v").toArrow()["v"]
     x = _unit(np.stack([np.asarray(r, float) for r in rows.to_pylist()]))
-    k = int(min(most, max(1, round(2 * n / SHARD)), len(x)))
+    return _means(x, int(min(most, max(1, round(2 * n / SHARD)), len(x))))
+
+
+def _means(x: np.ndarray, k: int) -> np.ndarray:
+    """Spherical k-means of unit vectors."""
     c = x[:: max(1, len(x) // k)][:k].copy()
     for _ in range(8):
         own = np.argmax(x @ c.T, axis=1)
@@ -58,6 +69,47 @@ def centres(points: DataFrame, n: int, sample: int = SAMPLE, most: int = CENTRES
     return c
 
 
+def fine_shards(dealt: DataFrame) -> DataFrame:
+    """first, shard of ``dealt`` (first, v, shard) with overfull shards divided: their vectors go to the OVERLAP nearest of centres found among a sample of them.
+
+    The sample is by hashes and grows with the centres, not with the shard; vectors of one shard are dealt in tasks of about DEALT. It ends when no shard is overfull or
+    dividing makes the largest no smaller (then that one stays large).
+    """
+    left, done, largest = stash(dealt, "dealt"), None, None
+    while True:
+        over = stash(left.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 2 * SHARD), "overfull")
+        top = over.agg(F.max("n")).first()[0]
+        if top is None or (largest is not None and top >= largest):
+            return (left if done is None else done.unionByName(left)).select("first", "shard")
+        largest = top
+        cool = left.join(over, "shard", "left_anti")
+        done = cool if done is None else done.unionByName(cool)
+        k = F.least(F.lit(FINER), F.greatest(F.lit(2), F.round(2 * F.col("n") / SHARD).cast("int")))
+        rows = left.join(over, "shard").withColumn("k", k).withColumn("part", F.pmod(F.xxhash64("first", "shard"), F.ceil(F.col("n") / DEALT)))
+        sample = rows.where(F.pmod(F.xxhash64("shard", "first"), F.col("n")) < F.col("k") * EACH)
+
+        def fit(group: pd.DataFrame) -> pd.DataFrame:
+            group = group.sort_values("first")
+            c = _means(np.stack(group.v.to_numpy()), int(min(group.k.iloc[0], len(group))))
+            return pd.DataFrame({"shard": [group["shard"].iloc[0]], "n": [group["n"].iloc[0]], "c": [c.reshape(-1)]})
+
+        found = stash(sample.groupBy("shard").applyInPandas(fit, "shard long, n long, c array<double>"), "centres")
+        sent = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / DEALT) - 1))).select("shard", "part", "c")
+
+        def deal(group: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if not len(group) or not len(own):  # without a sample the shard stays
+                return group[["first", "v", "shard"]]
+            x = np.stack(group.v.to_numpy())
+            c = own.c.iloc[0].reshape(-1, x.shape[1])
+            best = np.argsort(-x @ c.T, axis=1, kind="stable")[:, :OVERLAP]
+            names = mix(group["shard"].to_numpy().astype(np.int64).view(np.uint64)[:, None] + best.astype(np.uint64) + np.uint64(1)).view(np.int64)
+            at = np.repeat(np.arange(len(x)), best.shape[1])
+            return pd.DataFrame({"first": group["first"].to_numpy()[at], "v": group.v.to_numpy()[at], "shard": names.reshape(-1)})
+
+        out = rows.select("first", "v", "shard", "part").groupBy("shard", "part").cogroup(sent.groupBy("shard", "part")).applyInPandas(deal, "first long, v array<double>, shard long")
+        left = stash(out, "dealt")
+
+
 def robust_prune(sim: np.ndarray, point: int, pool: np.ndarray, degree: int = DEGREE, slack: float = SLACK) -> list[int]:
     """Neighbours of ``point`` out of ``pool`` (sorted by falling similarity): one stays unless a kept one is nearer to it by the factor ``slack`` than ``point`` is."""
     kept: list[int] = []
@@ -193,18 +245,24 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     """One row per row: id, n_links (other vectors at cosine >= radius), component_id (smallest id reachable), kept.
 
     Equal vectors are one node, whose number of copies counts in n_links, so a large group of copies costs one search. Null, zero and
-    non-finite vectors link with nothing, n_links 0; null ids give a null component. Ids should be unique; repeated ids are vectors of their own but share a row
-    key, and get the figures of each. Vectors of another length than the first are an error. Links with a close vector are counted exactly; each other link in one
+    non-finite vectors and those without an id link with nothing: n_links 0, their id as component (null for a null one), kept. Rows of one id are vectors of their own. Vectors
+    of another length than the first are an error. Links with a close vector are counted exactly; each other link in one
     shard only: the first shard of the query that also holds the other vector. All links of a shard, not only samples, join components by a local union that gives each member's
-    smallest mate.
+    smallest mate. Other columns are ignored.
     """
     spark = rows.sparkSession
-    vectors = valid_vectors(rows, id_col, vector_col).withColumn("vid", F.xxhash64("v"))
-    nodes = stash(vectors.groupBy("vid", "v").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "vectors")
+    v = F.transform(vector_col, lambda x: x.cast("double"))
+    every = rows.select(F.col(id_col).alias("__id"), F.when(F.col(id_col).isNotNull(), v).alias("v"))
+    fine = F.col("v").isNotNull() & _fine("v")
+    vectors = every.where(fine).withColumn("vid", F.xxhash64("v"))
+    # "first" names a node: ids may be repeated
+    nodes = vectors.groupBy("vid", "v").agg(F.min(F.col("__id").cast("long")).alias("least"), F.count("*").alias("copies"))
+    nodes = stash(nodes.withColumn("first", F.monotonically_increasing_id()), "vectors")
     n = nodes.count()
-    plain = rows.select(F.col(id_col).alias("__id"))
+    lone = every.where(~F.coalesce(fine, F.lit(False))).select("__id", F.lit(0).cast("long").alias("n_links"), F.col("__id").cast("long").alias("component_id"))
+    named_kept = lambda df: df.select(F.col("__id").alias(id_col), "n_links", "component_id", F.col("__id").eqNullSafe(F.col("component_id")).alias("kept"))
     if not n:
-        return plain.select(F.col("__id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component_id"), F.col("__id").isNotNull().alias("kept"))
+        return named_kept(lone)
     c = spark.sparkContext.broadcast(centres(nodes, n))
 
     def nearest(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,18 +270,12 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
             if len(part):
                 x = _unit(np.stack(part.v.to_numpy()).astype(float))
                 sim = x @ c.value.T
-                best = np.argsort(-sim, axis=1, kind="stable")[:, :3]
-                # position along a direction fixed for each centre, for centres that need several shards
-                yield pd.DataFrame({"vid": part.vid, "first": part["first"], "copies": part.copies, "v": list(x), "near": list(best.astype(np.int32)), "close": sim.max(axis=1) >= radius, "along": [[float(v @ np.roll(c.value[(j + 1) % len(c.value)], 1)) for j in b] for v, b in zip(x, best)]})
-
-    placed = stash(nodes.mapInPandas(nearest, "vid long, first long, copies long, v array<double>, near array<int>, close boolean, along array<double>"), "placed")
-    home = placed.where("not close").select("first", F.posexplode(F.arrays_zip("near", "along")).alias("rank", "at")).select("first", "rank", "at.near", "at.along")
-    sizes = home.groupBy("near").agg(F.count("*").alias("n"), F.percentile_approx("along", [k / 65 for k in range(1, 65)], 1000).alias("cuts"))
-    sizes = sizes.select("near", "cuts", F.ceil(F.col("n") / (2 * SHARD)).cast("int").alias("shards"))
-    # the shard along the direction, by quantiles; overfull centres are cut into up to 65 * 64 shards, further by hash
-    piece = F.expr("int(shards * (size(filter(cuts, x -> x < along)) / 65D))")
-    home = home.join(sizes, "near").withColumn("piece", piece).select("first", "rank", F.xxhash64("near", "piece", F.when(F.col("shards") > 65, F.pmod(F.xxhash64("first"), F.expr("int(shards / 65) + 1"))).otherwise(0)).alias("shard"))
-    home = home.groupBy("first").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "shard"))), lambda x: x["shard"]).alias("shards"))
+                best = np.argsort(-sim, axis=1, kind="stable")[:, :OVERLAP]
+                yield pd.DataFrame({"vid": part.vid, "first": part["first"], "copies": part.copies, "v": list(x), "near": list(best.astype(np.int32)), "close": sim.max(axis=1) >= radius})
+
+    placed = stash(nodes.select("vid", "first", "copies", "v").mapInPandas(nearest, "vid long, first long, copies long, v array<double>, near array<int>, close boolean"), "placed")
+    home = fine_shards(placed.where("not close").select("first", "v", F.explode(F.col("near").cast("array<bigint>")).alias("shard")))
+    home = home.groupBy("first").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
     members = stash(placed.join(home, "first").select("first", "copies", "v", "shards"), "members")
     dealt = members.withColumn("shard", F.explode("shards"))
 
@@ -270,11 +322,10 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     totals = found.groupBy("first").agg(F.sum("n").alias("n"))
     groups = components(found.where("first <> mate").select(F.col("first").alias("a"), F.col("mate").alias("b")))
     named = nodes.join(totals, "first", "left").join(groups.withColumnRenamed("node", "first"), "first", "left")
-    named = named.select("vid", "v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "first").alias("component"))
-    each = vectors.join(named, ["vid", "v"]).select(F.col("id").alias("__vid"), "n", "component").distinct()
-    out = plain.join(each, F.col("__id") == F.col("__vid"), "left")
-    component = F.coalesce("component", "__id")
-    return out.select(F.col("__id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("__id") == component).alias("kept"))
+    named = stash(named.select("vid", "v", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "first").alias("component")), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = vectors.join(named.join(least, "component").select("vid", "v", "n_links", "component_id"), ["vid", "v"])
+    return named_kept(out.select("__id", "n_links", "component_id").unionByName(lone))
 
 
 def recall(rows: DataFrame, found: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", radius: float = RADIUS, every: int = 20) -> float:
