@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mediaspan.functions import geometry, loudness, scores, text
 from mediaspan.operators import captions, hooks, intervals, selection, signal
 from mediaspan.plans import adapters as A
-from mediaspan.plans.catalogue import _ENERGY, _GAPS, _SAMPLES, _SPEECH, _TIME, _WORDS, _energy, _peaks, query
+from mediaspan.plans.catalogue import SQL, _ENERGY, _GAPS, _SAMPLES, _SPEECH, _TIME, _WORDS, _energy, _peaks, query
 from mediaspan.sources import probe
 
 #: Words of the test texts in the place of the hook words.
@@ -133,8 +133,16 @@ def zoom_aligned(spark: SparkSession, d: str) -> DataFrame:
     return _aligned(spark, d)
 
 
-# Tested against a loop on small fixtures.
-@query()
+# A walk from shot to shot: each row of ``w`` is a shot and the number of the window that is next.
+@query(f"""with recursive {_SPEECH}, al as ({SQL["zoom_aligned"]}), win as (select media_id, start_ms as a, end_ms as b, row_number() over (partition by media_id order by start_ms, end_ms) as n from al),
+it as (select media_id, total_ms as t, count(n) as m from totals left join win using (media_id) group by all),
+w as (select media_id, t, m, 1 as n, 0::bigint as pos, null::bigint as a, null::bigint as b, '' as mode from it where m > 0 and t > 8000
+ union all select media_id, t, m, case when kind in ('skip', 'zoom') then n + 1 else n end, case kind when 'skip' then pos when 'lead' then least(s, pos + 15000) when 'fill' then least(t, pos + 15000) else case when t - z < 8000 then t else z end end,
+  case when kind = 'skip' then null else pos end, case kind when 'skip' then null when 'lead' then least(s, pos + 15000) when 'fill' then least(t, pos + 15000) else case when t - z < 8000 then t else z end end, case when kind = 'zoom' then 'ZOOM' else 'NORMAL' end
+ from (select *, case when s - pos < 8000 and e - pos < 8000 then least(t, pos + 8000) else e end as z, case when wa is null then 'fill' when e <= s then 'skip' when s - pos >= 8000 then 'lead' else 'zoom' end as kind
+  from (select w.*, win.a as wa, greatest(pos, win.a) as s, least(t, win.b, greatest(pos, win.a) + 15000) as e from w left join win on win.media_id = w.media_id and win.n = w.n) where t - pos > 8000 or (wa is not null and pos = wa and mode = 'NORMAL' and pos < t))),
+sh as (select media_id, t, a, b, mode from w where a is not null union all select media_id, t, 0, t, 'NORMAL' from it where t <= 8000 and t > 0)
+select media_id, row_number() over (partition by media_id order by a) - 1 as shot_idx, a as start_ms, case when lead(a) over (partition by media_id order by a) is null then t else b end as end_ms, mode from sh""")
 def semantic_shots(spark: SparkSession, d: str) -> DataFrame:
     return selection.interleave_shots(_aligned(spark, d), A.totals(spark, d), 8000, 15_000)
 
