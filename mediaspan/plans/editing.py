@@ -280,9 +280,13 @@ def _track(spark: SparkSession, d: str) -> DataFrame:
 _TRACK = "track as (select media_id, event_id as sample_id, start_ms - total_ms // 4 as at_ms, event_id * 7919 % 1000 / 1000.0::double as hold from speech join totals using (media_id) where start_ms between total_ms // 4 and total_ms // 2)"
 
 
-@query(f"with {_SPEECH}, {_TRACK} select media_id, sample_id, at_ms, cast(round(hold * 1000) as bigint) as x from track")
+@query(f"""with {_SPEECH}, c as (select media_id, 1 as span_id, total_ms // 4 as a, total_ms // 2 as b from totals union all select media_id, 2, total_ms // 3, total_ms // 3 * 2 from totals)
+select media_id, span_id, event_id as sample_id, start_ms - a as at_ms, event_id * 7919 % 1000 as x from speech join c using (media_id) where start_ms between a and b""")
 def relative_track(spark: SparkSession, d: str) -> DataFrame:
-    return _track(spark, d).select("media_id", "sample_id", "at_ms", F.round(F.col("hold") * 1000).cast("bigint").alias("x"))
+    """Two cuts of each item that overlap."""
+    one, two = (A.totals(spark, d).selectExpr("media_id", f"{k} as span_id", f"{a} as start_ms", f"{b} as end_ms") for k, a, b in ((1, "total_ms div 4", "total_ms div 2"), (2, "total_ms div 3", "total_ms div 3 * 2")))
+    rows = selection.relative_track(A.faces(spark, d), one.unionByName(two))
+    return rows.select("media_id", "span_id", "sample_id", "at_ms", F.round(F.col("x") * 1000).cast("bigint").alias("x"))
 
 
 @query(f"""with {_SPEECH}, {_TRACK}, k as (select media_id, sample_id as k, at_ms / 1000 as t, greatest(0, least(1314, hold * 1920 - 303)) as x from track), h as (select media_id, -1 as k, 0.0 as t, arg_min(x, t * 1e9 + k) as x from k group by media_id having min(t) > 0),
