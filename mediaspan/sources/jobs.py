@@ -35,17 +35,18 @@ def decode_jobs(raw: DataFrame, payload: str = "payload") -> DataFrame:
     Valid ones have texts for all four fields and an object for metadata, if there is one; of others the fields are null. Attempts: top, then ``opts``, else 1. The text is parsed once.
     """
     v = F.col("_message")
+    names = {"job_id": "jobId", "upload_id": "uploadId", "file_path": "filePath", "created_at": "createdAt"}
     native = _field(v, "jobId").isNotNull() & _field(v, "uploadId").isNotNull()
     rows = raw.withColumn("_message", F.try_parse_json(payload)).withColumn("_job", F.when(native, v).otherwise(_field(v, "data")))
-    names = {"job_id": "jobId", "upload_id": "uploadId", "file_path": "filePath", "created_at": "createdAt"}
-    extra = _field(F.col("_job"), "metadata")
-    good = extra.isNull() | F.schema_of_variant(extra).startswith("OBJECT")
-    for name in names.values():
-        good = good & _text(_field(F.col("_job"), name)).isNotNull()
+    # each field is looked up once and each text read once: later columns refer to these
+    looked = {f"_{c}": _field(F.col("_job"), name) for c, name in names.items()}
+    rows = rows.select(*raw.columns, *[c.alias(n) for n, c in looked.items()], _field(F.col("_job"), "metadata").alias("_extra"), _field(v, "attempts").alias("_own"), F.try_variant_get(v, "$.opts.attempts", "variant").alias("_opts"))
+    rows = rows.select(*raw.columns, "_extra", *[_text(F.col(n)).alias(n) for n in looked], F.coalesce(_whole(F.col("_own")), _whole(F.col("_opts")), F.lit(1)).alias("attempts"))
+    good = F.col("_extra").isNull() | F.schema_of_variant("_extra").startswith("OBJECT")
+    for n in looked:
+        good = good & F.col(n).isNotNull()
     rows = rows.withColumn("valid", F.coalesce(good, F.lit(False)))
-    attempts = F.coalesce(_whole(_field(v, "attempts")), _whole(_field(_field(v, "opts"), "attempts")), F.lit(1))
-    rows = rows.withColumns({**{c: F.when(F.col("valid"), _text(_field(F.col("_job"), name))) for c, name in names.items()}, "attempts": attempts})
-    return rows.select(*raw.columns, *names, "attempts", "valid")
+    return rows.select(*raw.columns, *[F.when(F.col("valid"), F.col(f"_{c}")).alias(c) for c in names], "attempts", "valid")
 
 
 def transition_url(base: Column, upload_id: Column) -> Column:
