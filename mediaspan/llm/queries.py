@@ -8,7 +8,7 @@ from .decontaminate import op7_benchmark_decontamination
 from .jaccard_join import op9_ngram_jaccard_join
 from .line_dedup import op2_line_dedup
 from .periodic_runs import op11_periodic_runs
-from .sanitise import op13_pii
+from .sanitise import OP13_SQL, op13_pii
 from .spelling_variants import op12_spelling_variants
 from .substring_dedup import op8_substring_dedup
 from .toxicity import op5_toxicity
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_spelling_variants": op12_spelling_variants,
     "op13_pii": op13_pii,
 }
-SQL = {"op4_url_filters": OP4_SQL, "op6_warc_fixity_audit": OP6_SQL, "op10_chat_formatting": OP10_SQL}
+SQL = {"op4_url_filters": OP4_SQL, "op6_warc_fixity_audit": OP6_SQL, "op10_chat_formatting": OP10_SQL, "op13_pii": OP13_SQL}

@@ -188,3 +188,35 @@ def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"], s["end"])), ",")
     base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
     return out.select("doc_id", *[count(n).alias(f"n_{k}") for n, k in enumerate(KINDS)], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] >= len(KINDS))).cast("long").alias("n_terms"))
+
+
+def _matches_sql(name: str, source: str, kind: str, pattern: str) -> str:
+    """A CTE of (rid, kind, value, start, stop, before, after): matches with their places by running sums."""
+    return f"""{name}_m as (select rid, regexp_extract_all(text, '{pattern}') as m, string_split_regex(text, '{pattern}') as r from {source}), {name}_u as (select rid, m, r, unnest(range(1, len(m) + 1)) as i from {name}_m),
+{name} as (select rid, {kind} as kind, m[i] as value, (sum(length(r[i]) + length(m[i])) over (partition by rid order by i) - length(m[i]))::bigint as start, (sum(length(r[i]) + length(m[i])) over (partition by rid order by i))::bigint as stop, right(r[i], {CONTEXT + 1}) as before, left(r[i + 1], {CONTEXT + 1}) as after from {name}_u)"""
+
+
+_PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}", "card": r"[0-9](?:[ -]?[0-9])+", "phone": r"\+[0-9][ ().0-9-]+[0-9]"}
+_DIGIT = "substring(reverse(digits), i, 1)::int"
+#: The method again, with the plain patterns.
+OP13_SQL = f"""
+with d as (select doc_id, coalesce(text, '') as text, row_number() over () as rid from documents),
+{", ".join(_matches_sql(k, "d", str(n), _PLAIN[k]) for n, k in enumerate(KINDS))},
+every as ({" union all ".join(f"select * from {k}" for k in KINDS)}), digits as (select *, regexp_replace(value, '[^0-9]', '', 'g') as digits from every),
+base as (select * from digits where case kind
+  when 1 then list_bool_and(list_transform(string_split(value, '.'), lambda p: length(ltrim(p, '0')) < 3 or (length(ltrim(p, '0')) = 3 and ltrim(p, '0') <= '255')))
+  when 2 then length(digits) between 16 and 19 and list_sum(list_transform(range(1, length(digits) + 1), lambda i: case when i % 2 = 1 then {_DIGIT} when {_DIGIT} > 4 then 2 * {_DIGIT} - 9 else 2 * {_DIGIT} end)) % 10 = 0
+  when 3 then length(digits) between 8 and 15 else true end),
+sides as (select *, case when kind = 0 then lower(value) when kind = 1 then value when kind = 3 then '+' || digits else digits end as who, case when length(before) > {CONTEXT} then regexp_replace(before, '^[\\p{{L}}\\p{{N}}]+', '') else before end as b,
+  case when length(after) > {CONTEXT} then regexp_replace(after, '[\\p{{L}}\\p{{N}}]+$', '') else after end as a from base),
+contexts as (select rid, kind, who, regexp_extract_all(lower(string_split(b, chr(10))[-1] || chr(10) || string_split(a, chr(10))[1]), '{WORD}') as terms from sides),
+pairs as (select kind, who, term, count(*) as together, count(distinct terms) as support from (select kind, who, terms, unnest(terms) as term from contexts) group by all),
+words as (select term, count(*) as n from (select unnest(regexp_extract_all(lower(text), '{WORD}')) as term from d) group by 1), total as (select sum(n) as n from words), entities as (select kind, who, count(*) as n from contexts group by all),
+risky as (select p.kind, p.who, p.term, 1 + ln(least(1.0::double, together::double / w.n)) / -ln(e.n::double / (select n from total)) as disclosure from pairs p join words w on w.term = p.term join entities e on e.kind = p.kind and e.who = p.who where support >= {SUPPORT} and e.n < (select n from total)),
+worst as (select rid, x.term, max(disclosure) as disclosure from (select rid, kind, who, unnest(terms) as term from contexts) x join risky r on r.kind = x.kind and r.who = x.who and r.term = x.term where disclosure >= {GENERALISE} group by all),
+named as (select * from d where rid in (select rid from worst)), {_matches_sql("said", "named", "4", WORD)},
+added as (select s.rid, case when disclosure >= {REMOVE} then 5 else 4 end as kind, s.start, s.stop from said s join worst w on w.rid = s.rid and w.term = lower(s.value) where not exists (select 1 from base b where b.rid = s.rid and b.start < s.stop and s.start < b.stop)),
+spans as (select rid, kind, start, stop, {[*KINDS, *TERM_KINDS]}[kind + 1] || ':' || start || ':' || stop as said from (select rid, kind, start, stop from base union all select * from added))
+select doc_id, {", ".join(f"count(*) filter (kind = {n}) as n_{k}" for n, k in enumerate(KINDS))}, sha256(coalesce(string_agg(said, ',' order by kind, start) filter (kind < {len(KINDS)}), '')) as base_sha256, coalesce(string_agg(said, ',' order by kind, start), '') as spans, count(*) filter (kind >= {len(KINDS)}) as n_terms
+from d left join spans using (rid) group by rid, doc_id
+"""

@@ -159,3 +159,26 @@ def test_no_python_workers(spark):
     """Native on the main path."""
     plan = sanitise.op13_pii(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("ArrowEvalPython", "BatchEvalPython", "MapInArrow", "MapInPandas", "FlatMapGroups"))
+
+
+def test_sql_equals_the_query(spark, tmp_path):
+    """DuckDB's rows on the smallest table, and on texts with terms that are masked."""
+    import duckdb
+
+    rng = random.Random(5)
+    filler = lambda n: " ".join(rng.choice(["the", "house", "of", "green", "tree", "was", "Élan"]) for _ in range(n))
+    rows = [(i, f"{filler(60)}\nMarcellus wrote {filler(i)} ann@b.org, curator {filler(25)} and 10.0.0.{i}.\nMarcellus {filler(40)}") for i in range(8)]
+    rows += [(20, None), (21, ""), (22, "the curator " + filler(400)), (None, rows[0][1])]
+    made = tmp_path / "made"
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(made / "documents.parquet"))
+    added = []
+    for sf in (str(made), "/root/testdata/sf0.001"):
+        got = sanitise.op13_pii(spark, sf)
+        con = duckdb.connect()
+        path = f"{sf}/documents.parquet/*.parquet" if sf == str(made) else f"{sf}/documents.parquet"
+        con.execute(f"create view documents as select * from '{path}'")
+        want = con.sql(f"select {', '.join(got.columns)} from ({sanitise.OP13_SQL})").fetchall()
+        rows = [tuple(r) for r in got.collect()]
+        assert sorted(rows, key=repr) == sorted(want, key=repr)
+        added.append(sum(r[-1] for r in rows))
+    assert added[0] > 10
