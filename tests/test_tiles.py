@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mediaspan.operators import tiles as T
 
-SIZES = (7, 16, 128)
+SIZES = (7, 128)
 
 
 def frame(height, width, seed):
