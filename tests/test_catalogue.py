@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from mediaspan.plans import choices, editing, headlines, pixels, sound  # noqa: F401
+from mediaspan.plans import choices, editing, headlines, pixels, scripts, sound  # noqa: F401
 from mediaspan.plans.catalogue import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
