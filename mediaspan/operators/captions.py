@@ -39,6 +39,29 @@ def clean_words(raw: DataFrame) -> DataFrame:
     return rows.select(KEY, "word_idx", "word", start.alias("start_ms"), F.greatest(start, F.coalesce(text.to_ms(F.col("end")), start)).alias("end_ms"), "probability")
 
 
+def transcripts(segments: DataFrame, words: DataFrame) -> DataFrame:
+    """media_id, text, segments (id, text, start_ms, end_ms, words) and words of each item: recognised segments (media_id, seg_idx, text, start, end in seconds) with their words
+    (those of ``clean_words`` and seg_idx).
+
+    Segments are numbered from 0 in the order of seg_idx; a missing start is 0, a missing or earlier end the start; the text is the segments' texts, empty ones left out, line by line. One row an item, as long as its transcript; items
+    without segments give none, words without a segment are left out.
+    """
+    word = F.struct("word_idx", "word", "start_ms", "end_ms", "probability")
+    spoken = words.groupBy(KEY, "seg_idx").agg(F.sort_array(F.collect_list(word)).alias("words"))
+    start = F.greatest(F.lit(0).cast("bigint"), F.coalesce(text.to_ms(F.col("start")), F.lit(0).cast("bigint")))
+    rows = segments.select(KEY, "seg_idx", text.collapse(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"), start.alias("start_ms"), F.greatest(start, F.coalesce(text.to_ms(F.col("end")), start)).alias("end_ms"))
+    rows = rows.join(spoken, [KEY, "seg_idx"], "left").withColumn("words", F.coalesce("words", F.array().cast(spoken.schema["words"].dataType)))
+    whole = rows.groupBy(KEY).agg(F.sort_array(F.collect_list(F.struct("seg_idx", "text", "start_ms", "end_ms", "words"))).alias("s"))
+    said = F.array_join(F.filter(F.transform("s", lambda x: x["text"]), lambda t: t != ""), "\n")
+    numbered = F.transform("s", lambda x, i: F.struct(i.cast("int").alias("id"), x["text"].alias("text"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), x["words"].alias("words")))
+    return whole.select(KEY, said.alias("text"), numbered.alias("segments"), F.flatten(F.transform("s", lambda x: x["words"])).alias("words"))
+
+
+def flat_words(words: Column, segments: Column) -> Column:
+    """A transcript's words, or where it has none those of its segments, in order."""
+    return F.when(F.size(words) > 0, words).otherwise(F.flatten(F.transform(segments, lambda s: s["words"])))
+
+
 def cue_words(words: DataFrame, size: int) -> DataFrame:
     """Cues of ``size`` words with their words (word_idx, word, start_ms, end_ms) in order."""
     n = F.floor((F.row_number().over(W.partitionBy(KEY).orderBy("word_idx")) - 1) / size)

@@ -49,3 +49,8 @@ def frame_counts(frames: DataFrame, reasons: Column) -> DataFrame:
 def select_keyframes(frames: DataFrame, reasons: Column, score: Column, apart_ms: int, keep: int) -> DataFrame:
     """Frames (at_ms, frame_id) without a reason against them, best score first, each at least ``apart_ms`` from every kept one, up to ``keep``."""
     return diverse_frames(frames.where(F.size(reasons) == 0).withColumn("score", score), apart_ms, keep)
+
+
+def frames_at(stamps: DataFrame, frames: DataFrame) -> DataFrame:
+    """``stamps`` (media_id, at_ms) with the columns of the frame (media_id, at_ms, others) at just that time; null where there is none. Frames are unique by item and time."""
+    return stamps.join(frames, [KEY, "at_ms"], "left")

@@ -147,6 +147,28 @@ def semantic_shots(spark: SparkSession, d: str) -> DataFrame:
     return selection.interleave_shots(_aligned(spark, d), A.totals(spark, d), 8000, 15_000)
 
 
+# Every third item has no zoom window.
+@query(f"""with sem as ({SQL["semantic_shots"]}), heu as ({SQL["zoom_plan"]})
+select *, 'gemini' as strategy from sem where media_id % 3 > 0 and media_id in (select media_id from ({SQL["zoom_aligned"]})) and media_id not in (select user_id from events group by 1 having max(floor(epoch(ts))::bigint - 1704067200 + floor(value * 1000)::bigint) + 1000 <= 8000)
+union all select *, 'heuristic' from heu where media_id % 3 = 0 or media_id not in (select media_id from ({SQL["zoom_aligned"]})) or media_id in (select user_id from events group by 1 having max(floor(epoch(ts))::bigint - 1704067200 + floor(value * 1000)::bigint) + 1000 <= 8000)""")
+def zoom_strategies(spark: SparkSession, d: str) -> DataFrame:
+    pauses = A.speech(spark, d).selectExpr("media_id", "start_ms", "start_ms + 400 + event_id % 500 as end_ms")
+    return selection.planned_shots(A.totals(spark, d), _aligned(spark, d).where("media_id % 3 > 0"), pauses)
+
+
+@query("""with t as (select conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as said, greatest(0, (turn * 1500 - 700))::bigint as a, case when turn % 3 > 0 then turn * 1500 + 200 end as b from conversations),
+s as (select *, row_number() over (partition by conv_id order by turn) - 1 as i, greatest(a, coalesce(b, a))::bigint as e from t)
+select conv_id as media_id, coalesce(string_agg(said, chr(10) order by turn) filter (said <> ''), '') as text, string_agg(i || ':' || a || '-' || e, ',' order by turn) as spans, sum(case when said = '' or turn % 2 = 1 then 0 else 1 end)::bigint as words from s group by 1""")
+def transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as transcripts: every other turn has one word, its text as a whole."""
+    turns = A.table(spark, d, "conversations").select(F.col("conv_id").alias("media_id"), F.col("turn").alias("seg_idx"), "text", (F.col("turn") * 1.5 - 0.7).alias("start"), F.when(F.col("turn") % 3 > 0, F.col("turn") * 1.5 + 0.2).alias("end"))
+    spoken = turns.where("seg_idx % 2 = 0").select("media_id", F.col("seg_idx").alias("word_idx"), F.col("text").alias("word"), F.abs("start").alias("start"), "end", F.lit(1.0).alias("probability"))
+    words = captions.clean_words(spoken).withColumn("seg_idx", F.col("word_idx"))
+    rows = captions.transcripts(turns, words)
+    spans = F.array_join(F.transform("segments", lambda s: F.concat_ws("", s["id"], F.lit(":"), s["start_ms"], F.lit("-"), s["end_ms"])), ",")
+    return rows.select("media_id", "text", spans.alias("spans"), F.size(captions.flat_words(F.col("words"), F.col("segments"))).cast("bigint").alias("words"))
+
+
 def _probes(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")
     k, when, say = key.cast("string"), F.when, F.lit
