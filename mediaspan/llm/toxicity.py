@@ -163,7 +163,8 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabula
     """
     chosen = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    counts = stash(word_counts(texts.join(chosen, "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))), "words")
+    # one plan at every size: a broadcast of few labels would only hide what the exchange of texts takes
+    counts = stash(word_counts(texts.join(chosen.hint("merge"), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))), "words")
     total = counts.where("word is null").first()
     n_bad, n_all = max(1, total["bad"] if total else 0), max(1, total["all"] if total else 0)
     odds = ((F.col("bad") + 0.5) / (n_bad + 1)) / ((F.col("all") - F.col("bad") + 0.5) / (n_all - n_bad + 1))
