@@ -56,12 +56,14 @@ def temporal_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def overlapping_pairs(spans: DataFrame, key: str, bucket_ms: int) -> DataFrame:
-    """Pairs of spans of a media item that overlap, by their ``key`` (a_id < b_id), with their overlap ratio. Each pair is made once, in the time bucket in which its overlap begins."""
+    """Pairs of spans of a media item that overlap, by their ``key`` (a_id < b_id), with their overlap ratio and its whole parts, ``overlap_ms`` and ``union_ms``. Each pair is made once, in the time bucket in which its overlap begins."""
     rows = spans.where("end_ms > start_ms").select(KEY, key, "start_ms", "end_ms", F.explode(F.expr(f"sequence(start_ms div {bucket_ms}, (end_ms - 1) div {bucket_ms})")).alias("bucket"))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, [KEY, "bucket"]).where(f"a.{key} < b.{key} and least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms) and bucket = greatest(a.start_ms, b.start_ms) div {bucket_ms}")
-    iou = temporal_iou(*(F.col(c) for c in ("a.start_ms", "a.end_ms", "b.start_ms", "b.end_ms")))
-    return pairs.select(KEY, F.col(f"a.{key}").alias("a_id"), F.col(f"b.{key}").alias("b_id"), iou.alias("iou"))
+    sides = [F.col(c) for c in ("a.start_ms", "a.end_ms", "b.start_ms", "b.end_ms")]
+    both = overlap_ms(*sides)
+    union = (sides[1] - sides[0]) + (sides[3] - sides[2]) - both
+    return pairs.select(KEY, F.col(f"a.{key}").alias("a_id"), F.col(f"b.{key}").alias("b_id"), temporal_iou(*sides).alias("iou"), both.alias("overlap_ms"), union.alias("union_ms"))
 
 
 def interval_join(points: DataFrame, spans: DataFrame, bucket_ms: int, at: str = "at_ms") -> DataFrame:

@@ -140,7 +140,7 @@ def boundary_asof(spark: SparkSession, d: str) -> DataFrame:
 from speech a join speech b on a.media_id = b.media_id and a.event_id < b.event_id and least(a.end_ms, b.end_ms) > greatest(a.start_ms, b.start_ms)""")
 def temporal_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
     pairs = intervals.overlapping_pairs(A.speech(spark, d), "event_id", 200_000)
-    return pairs.select("a_id", "b_id", F.floor(F.col("iou") * 1_000_000).alias("iou_millionths"))
+    return pairs.select("a_id", "b_id", F.expr("1000000 * overlap_ms div union_ms").alias("iou_millionths"))  # the ratio times a million may fall below a whole number
 
 
 def _greedy_sql(source: str, fits: str, keep: int, out: str) -> str:

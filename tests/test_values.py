@@ -45,3 +45,18 @@ def test_boundaries_of_a_long_item(spark):
     rows = intervals.boundary_asof(points, bounds)
     wrong = rows.where("not (previous_ms <=> if(at_ms > 0, (least(at_ms, 300000) - 1) div 5 * 5, null)) or not (next_ms <=> if(at_ms < 299995, (at_ms div 5 + 1) * 5, null))")
     assert rows.count() == 60_000 and wrong.count() == 0
+
+
+def test_overlap_ratios_in_whole_parts(spark, tmp_path):
+    """0.125625 times a million is 125624.99999999999 in doubles."""
+    from datetime import datetime, timedelta
+
+    from mediaspan.plans import catalogue
+
+    at = datetime(2024, 1, 1)
+    rows = [(1, 7, at, "view", 0.201), (2, 7, at, "view", 1.6)]  # 201 of 1600 ms
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in catalogue.temporal_iou_pairs(spark, str(tmp_path)).collect()] == [(1, 2, 125_625)]
+    spans = spark.createDataFrame([(7, 1, 0, 201), (7, 2, 0, 1600)], "media_id long, event_id long, start_ms long, end_ms long")
+    got = intervals.overlapping_pairs(spans, "event_id", 200_000).first()
+    assert (got.overlap_ms, got.union_ms) == (201, 1600)
