@@ -17,7 +17,10 @@ def rms_windows(samples: DataFrame, size: int) -> DataFrame:
 
 
 def energy_peaks(energy: DataFrame, step_ms: int, totals: DataFrame, floor: float = 0.30) -> DataFrame:
-    """Local maxima (not below the left neighbour, above the right one, and at least the larger of ``floor`` and the mean) and the global maximum; they end at total_ms at the latest."""
+    """Local maxima (not below the left neighbour, above the right one, and at least the larger of ``floor`` and the mean) and the global maximum; they end at total_ms at the latest.
+
+    ``intensity`` is the energy to six decimals, as reported; ``energy`` is the energy itself, for those who round it otherwise.
+    """
     order, whole = W.partitionBy(KEY).orderBy("win"), W.partitionBy(KEY)
     left, right = F.lag("energy", 1, 0.0).over(order), F.lead("energy", 1, 0.0).over(order)
     rows = energy.withColumns({"left": left, "right": right, "mean": F.avg("energy").over(whole), "top": F.max("energy").over(whole)})
@@ -25,7 +28,7 @@ def energy_peaks(energy: DataFrame, step_ms: int, totals: DataFrame, floor: floa
     rows = rows.where(local | ((F.col("energy") == F.col("top")) & (F.col("top") > 0)))
     rows = rows.join(totals.select(KEY, "total_ms"), KEY)
     start, end = F.col("win") * step_ms, F.least("total_ms", (F.col("win") + 1) * step_ms)
-    return rows.select(KEY, "win", start.alias("start_ms"), end.alias("end_ms"), F.floor((start + end) / 2).alias("peak_ms"), F.round("energy", 6).alias("intensity"))
+    return rows.select(KEY, "win", start.alias("start_ms"), end.alias("end_ms"), F.floor((start + end) / 2).alias("peak_ms"), F.round("energy", 6).alias("intensity"), "energy")
 
 
 def bound_confidence(spans: DataFrame, probs: DataFrame, step_ms: int = 32) -> DataFrame:

@@ -97,7 +97,7 @@ def rms_energy(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {_ENERGY}, n as (select *, lag(energy, 1, 0.0) over w as l, lead(energy, 1, 0.0) over w as r, avg(energy) over p as mean, max(energy) over p as top from energy window w as (partition by media_id order by win), p as (partition by media_id))
 select media_id, win * 250 as start_ms, least(3900, (win + 1) * 250) as end_ms, (win * 250 + least(3900, (win + 1) * 250)) // 2 as peak_ms, cast(round(energy * 1000) as bigint) as intensity from n where (energy >= l and energy > r and energy >= greatest(0.30, mean)) or (energy = top and top > 0)""")
 def energy_peaks(spark: SparkSession, d: str) -> DataFrame:
-    return _peaks(spark, d).select("media_id", "start_ms", "end_ms", "peak_ms", F.round(F.col("intensity") * 1000).cast("bigint").alias("intensity"))
+    return _peaks(spark, d).select("media_id", "start_ms", "end_ms", "peak_ms", F.round(F.col("energy") * 1000).cast("bigint").alias("intensity"))
 
 
 @query(f"""with {_ENERGY}, spans as (select distinct media_id, s as span_id, s * 500 as start_ms, s * 500 + 900 as end_ms from samples, unnest(generate_series(0, 6)) as t(s))

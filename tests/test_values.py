@@ -47,6 +47,23 @@ def test_boundaries_of_a_long_item(spark):
     assert rows.count() == 60_000 and wrong.count() == 0
 
 
+def test_intensities_are_rounded_once(spark):
+    """0.6764997 is 0.6765 to six decimals, but 676 thousandths."""
+    energy = spark.createDataFrame([(1, 0, 1.0), (1, 1, 0.1), (1, 2, 0.6764997), (1, 3, 0.2)], "media_id long, win long, energy double")
+    peaks = signal.energy_peaks(energy, 250, spark.createDataFrame([(1, 1000)], "media_id long, total_ms long"))
+    got = {r.win: (r.intensity, r.thousandths) for r in peaks.withColumn("thousandths", F.round(F.col("energy") * 1000).cast("int")).collect()}
+    assert got == {0: (1.0, 1000), 2: (0.6765, 676)}
+
+
+def test_query_rounds_intensities_once(spark, tmp_path):
+    """Item 1 has a second peak whose energy is 0.6764997 of the first one's."""
+    from mediaspan.plans import catalogue
+
+    vector = [1.0] * 4 + [0.1] * 4 + [0.6764997] * 4 + [0.2] * 4
+    spark.createDataFrame([(1, vector)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [r.intensity for r in catalogue.energy_peaks(spark, str(tmp_path)).orderBy("start_ms").collect()] == [1000, 676]
+
+
 def test_overlap_ratios_in_whole_parts(spark, tmp_path):
     """0.125625 times a million is 125624.99999999999 in doubles."""
     from datetime import datetime, timedelta
