@@ -121,3 +121,21 @@ def filter_path(c: Column) -> Column:
 def seconds_text(ms: Column) -> Column:
     """Seconds with six decimals."""
     return F.format_string("%.6f", ms / 1000)
+
+
+def fixed(c: Column, places: int) -> Column:
+    """A number with ``places`` (9 at most) decimals, rounded by its exact binary value, as C and Python print it: 0.00015 is a little less than it seems. Beyond 2**52 units of the last place its decimal form is rounded.
+
+    The product with the power of ten is split into its rounded value and its error, so what is left over a half has the right sign.
+    """
+    unit, a = float(10**places), F.abs(c.cast("double"))
+    wide = a * 134217729.0  # 2**27 + 1 cuts a double into halves whose products are exact
+    high = wide - (wide - a)
+    rough = a * unit
+    error = (high * unit - rough) + (a - high) * unit
+    whole = F.floor(rough)
+    over = (rough - whole - 0.5) + error
+    n = whole + F.when((over > 0) | ((over == 0) & (whole % 2 == 1)), 1).otherwise(0)
+    sign = F.when(F.startswith(c.cast("double").cast("string"), F.lit("-")), "-").otherwise("")
+    exact = F.concat(sign, F.floor(n / 10**places).cast("string"), F.lit("."), F.lpad((n % 10**places).cast("string"), places, "0"))
+    return F.when(rough < 2.0**52, exact).when(c.isNotNull(), F.format_string(f"%.{places}f", F.bround(c.cast("double"), places)))

@@ -77,3 +77,22 @@ def test_overlap_ratios_in_whole_parts(spark, tmp_path):
     spans = spark.createDataFrame([(7, 1, 0, 201), (7, 2, 0, 1600)], "media_id long, event_id long, start_ms long, end_ms long")
     got = intervals.overlapping_pairs(spans, "event_id", 200_000).first()
     assert (got.overlap_ms, got.union_ms) == (201, 1600)
+
+
+def test_numbers_by_their_binary_value(spark):
+    """As Python prints them, also where the decimal form seems to lie in the middle."""
+    import random
+
+    rng = random.Random(3)
+    values = [k / 10**p + 5 / 10 ** (p + 1) for p in (2, 3, 4, 6) for k in (0, 1, 12, 606187, 123456)] + [rng.uniform(-2000, 2000) for _ in range(200)]
+    values += [-x for x in values] + [0.0, -0.0, 0.125, 0.375, 2.5, 1163.88, 643.56, 335220.0, 2.0**40 + 0.5, 0.99996, 9.99995, -0.00001]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (2, 3, 4, 6):
+        assert [r[0] for r in df.select(text.fixed(F.col("v"), places)).collect()] == [f"{v:.{places}f}" for v in values]
+    assert spark.createDataFrame([(None,)], "v double").select(text.fixed(F.col("v"), 2)).first()[0] is None
+
+
+def test_slopes_by_their_binary_value(spark):
+    """A slope of 60.61875, as a double a little less than that."""
+    points = spark.createDataFrame([(1, 1, 0, 0.0), (1, 2, 102_044, 0.0), (1, 3, 121_244, 0.764)], "media_id long, sample_id long, at_ms long, hold double")
+    assert selection.crop_path(points, 1920, 606).first().path == "if(between(t,0.000,102.044),(0.00+0.0000*(t-0.000)),if(between(t,102.044,121.244),(0.00+60.6187*(t-102.044)),1163.88))"
