@@ -5,6 +5,7 @@ Widths are whole units, 1000 to the font size, so that whether a line fits is de
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -25,8 +26,11 @@ class Font:
 
     def units(self, text: Column) -> Column:
         """Width of a text in units."""
-        table = F.create_map(*[F.lit(x) for pair in self.advances.items() for x in pair]) if self.advances else F.create_map().cast("map<string,int>")
-        one = lambda c: F.when(c == "", 0).otherwise(F.coalesce(F.try_element_at(table, c), F.lit(self.other)))
+        near = F.array(*[F.lit(self.advances.get(chr(c), self.other)) for c in range(128)])
+        far = {c: x for c, x in self.advances.items() if ord(c[0]) >= 128}
+        table = F.create_map(*[F.lit(x) for pair in far.items() for x in pair]) if far else None
+        rest = lambda c: F.coalesce(F.try_element_at(table, c), F.lit(self.other)) if far else F.lit(self.other)
+        one = lambda c: F.when(c == "", 0).when(F.ascii(c) < 128, F.get(near, F.ascii(c))).otherwise(rest(c))
         return F.aggregate(F.split(text, ""), F.lit(0), lambda total, c: total + one(c))
 
     def line_height(self, size: Column) -> Column:
@@ -81,25 +85,48 @@ def headline_zone(width: Column, height: Column, side: Column, subject_x: Column
     return F.struct(begin.alias("left"), F.greatest(end - begin, F.lit(1)).alias("width"), top.alias("top"), tall.alias("height"))
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value made once for a row, however often it is used (the expressions in a fold's step are made anew at every step)."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _count_lines(units: Column, most: Column, space: int) -> Column:
+    """How many lines ``_wrap`` makes of words of these ``units``. The state has the lines in its upper half, the width of the open one in its lower half."""
+    half = 1 << 32
+    open_ = lambda s: s.bitwiseAND(F.lit(half - 1))
+    step = lambda s, w: F.when(open_(s) + w + space <= most, s + w + space).otherwise((F.shiftright(s, 32) + 1) * half + w)
+    return F.greatest(F.lit(1), F.shiftright(F.aggregate(units, F.lit(half - 1).cast("bigint"), step), 32).cast("int"))
+
+
 def fit_headline(text: Column, font: Font, zone: Column, largest: Column) -> Column:
-    """(size, lines): the largest size from ``largest`` down in STEPs at which the wrapped lines fit the zone, or SMALLEST."""
-    words, space = _measured(text, font), font.advances.get(" ", font.other)
-    sizes = F.when(largest >= SMALLEST, F.sequence(largest, F.lit(SMALLEST), F.lit(-STEP))).otherwise(F.array().cast("array<int>"))
-    most = lambda size: F.floor(zone["width"] * 1000 / size).cast("int")
-    kind = "struct<size:int,lines:array<struct<text:string,units:int>>>"
-    made = lambda size: F.struct(size.alias("size"), _wrap(words, most(size), space).alias("lines"))
-
-    def fits(found: Column) -> Column:
-        high = font.line_height(found["size"])
+    """(size, lines): the largest size from ``largest`` down in STEPs at which the wrapped lines fit the zone, or SMALLEST.
+
+    A size below one that fits fits, too: its lines hold more units, are no more and are no higher. So sizes are searched by halves, counting lines only; the text is measured and wrapped once.
+    """
+    space = font.advances.get(" ", font.other)
+    given = F.struct(_measured(text, font).alias("words"), zone["width"].alias("width"), zone["height"].alias("height"), largest.alias("largest"))
+    most = lambda x, size: F.floor(x["width"] * 1000 / size).cast("int")
+
+    def fits(x: Column, size: Column) -> Column:
+        high = font.line_height(size)
         spacing = F.greatest(F.lit(1), F.floor(high * SPACING).cast("int"))
-        count = F.size(found["lines"])
-        narrow = F.forall(found["lines"], lambda x: x["units"] <= most(found["size"]))
-        return narrow & (high * count + spacing * (count - 1) <= zone["height"])
+        tall = lambda m: _once(_count_lines(x["units"], m, space), lambda count: high * count + spacing * (count - 1) <= x["height"])
+        return F.coalesce(_once(most(x, size), lambda m: (x["widest"] <= m) & tall(m)), F.lit(False))
+
+    def found(x: Column) -> Column:
+        """The number of sizes from ``largest`` down that don't fit, one less: grown by powers of two, the largest first."""
+        count = F.when(x["largest"] >= SMALLEST, F.floor((x["largest"] - SMALLEST) / STEP).cast("int") + 1).otherwise(0)
+        powers = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
+        size = lambda last: x["largest"] - STEP * last
+        last = lambda n: F.aggregate(powers, F.lit(-1), lambda acc, by: F.when(acc + by >= n, acc).when(_once(size(acc + by), lambda s: fits(x, s)), acc).otherwise(acc + by))
+        return _once(count, lambda n: _once(last(n), lambda k: F.when(k + 1 < n, size(k + 1)).otherwise(SMALLEST)))
 
-    # sizes are tried one after another until one fits
-    tried = lambda size: F.get(F.filter(F.array(made(size)), fits), F.lit(0))
-    found = F.aggregate(sizes, F.lit(None).cast(kind), lambda acc, size: F.when(acc.isNotNull(), acc).otherwise(tried(size).cast(kind)))
-    return F.coalesce(found, made(F.lit(SMALLEST)).cast(kind))
+    def made(x: Column) -> Column:
+        units = F.transform(x["words"], lambda w: w["units"].cast("bigint"))
+        searched = _once(F.struct(units.alias("units"), F.when(units.isNotNull(), F.coalesce(F.array_max(units), F.lit(0))).alias("widest"), x["width"].alias("width"), x["height"].alias("height"), x["largest"].alias("largest")), found)
+        return _once(searched, lambda size: _once(most(x, size), lambda m: F.struct(size.cast("int").alias("size"), _wrap(x["words"], m, space).alias("lines"))))
+
+    return _once(given, made)
 
 
 def headline_boxes(fitted: Column, font: Font, zone: Column) -> Column:
@@ -115,12 +142,16 @@ def headline_boxes(fitted: Column, font: Font, zone: Column) -> Column:
         left, up = zone["left"] + F.floor((zone["width"] - wide) / 2).cast("int"), top + i * (high + spacing)
         return F.struct(left.alias("left"), up.alias("top"), (left + wide).alias("right"), (up + high).alias("bottom"))
 
-    boxes = F.transform(lines, box)
-    edge = lambda of, side: of(F.transform(boxes, lambda b: b[side]))
-    over = (edge(F.array_max, "right") > SAFE_X) & (edge(F.array_max, "bottom") > SAFE_Y)
-    up = F.when(over, edge(F.array_max, "bottom") - SAFE_Y).otherwise(0)
-    bbox = F.struct(edge(F.array_min, "left").alias("left"), (edge(F.array_min, "top") - up).alias("top"), edge(F.array_max, "right").alias("right"), (edge(F.array_max, "bottom") - up).alias("bottom"))
-    return F.struct(bbox.alias("bbox"), F.transform(boxes, lambda b: F.struct(b["left"].alias("left"), (b["top"] - up).alias("top"), b["right"].alias("right"), (b["bottom"] - up).alias("bottom"))).alias("boxes"))
+    def moved(boxes: Column) -> Column:
+        edge = lambda of, side: of(F.transform(boxes, lambda b: b[side]))
+        over = (edge(F.array_max, "right") > SAFE_X) & (edge(F.array_max, "bottom") > SAFE_Y)
+        up = F.when(over, edge(F.array_max, "bottom") - SAFE_Y).otherwise(0)
+        return _once(up, lambda up: F.struct(
+            F.struct(edge(F.array_min, "left").alias("left"), (edge(F.array_min, "top") - up).alias("top"), edge(F.array_max, "right").alias("right"), (edge(F.array_max, "bottom") - up).alias("bottom")).alias("bbox"),
+            F.transform(boxes, lambda b: F.struct(b["left"].alias("left"), (b["top"] - up).alias("top"), b["right"].alias("right"), (b["bottom"] - up).alias("bottom"))).alias("boxes"),
+        ))
+
+    return _once(F.transform(lines, box), moved)
 
 
 def place_subject(side: Column, subject_width: Column, subject_height: Column, width: Column, height: Column, margin: Column) -> Column:

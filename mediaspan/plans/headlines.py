@@ -43,7 +43,9 @@ e as (select k, size, n, min(zl + floor((zw - wide) / 2)::int) as l, max(zl + fl
 @query(f"""with recursive {_PARTS} select k as p_partkey, size::int as size, n::int as n_lines, ends, l as "left", case when r > 1050 and bt > 600 then t - (bt - 600) else t end::int as top, r as "right", case when r > 1050 and bt > 600 then 600 else bt end::int as bottom from e""")
 def headline_layout(spark: SparkSession, d: str) -> DataFrame:
     """Size, lines (number of the last word of each) and box of every headline."""
-    rows = _parts(spark, d).withColumn("fitted", layout.fit_headline(F.col("text"), FONT, F.col("zone"), F.col("largest")))
+    # a row takes a quarter of a millisecond and some four bytes of the file, so files' splits would make too few tasks
+    parts = _parts(spark, d).repartition(3 * spark.sparkContext.defaultParallelism, "p_partkey")
+    rows = parts.withColumn("fitted", layout.fit_headline(F.col("text"), FONT, F.col("zone"), F.col("largest")))
     rows = rows.withColumn("b", layout.headline_boxes(F.col("fitted"), FONT, F.col("zone"))["bbox"])
     counts = F.transform("fitted.lines", lambda x: F.size(layout.words_of(x["text"])))
     ends = F.aggregate(counts, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(n + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))

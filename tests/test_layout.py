@@ -58,6 +58,34 @@ def test_layouts(spark):
         assert tuple(r.b.bbox) == (min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes))
 
 
+def test_sizes_are_searched_by_halves(spark):
+    """A name is measured and wrapped once: from 3,000 down, 1,483 sizes are too large, and a size takes no more than 30 tries. Trying them one by one took minutes."""
+    import time
+
+    rows = [(k, " ".join(["abWx"[k % 4] * (k % 9 + 1)] * 40), (40, 400, 80, 300), 3_000) for k in range(3_000)]
+    df = spark.createDataFrame(rows, "k int, text string, zone struct<left:int,width:int,top:int,height:int>, largest int").repartition(4)
+    began = time.time()
+    got = df.select("k", layout.fit_headline(F.col("text"), FONT, F.col("zone"), F.col("largest")).alias("f")).collect()
+    assert time.time() - began < 60
+    for r in got[::100]:
+        size, lines, _ = lay(rows[r.k][1], rows[r.k][2], 3_000)
+        assert (r.f["size"], [x.text for x in r.f.lines]) == (size, lines)
+
+
+def test_layouts_of_nothing(spark):
+    """No words, no largest size and a largest one below the smallest."""
+    rows = [(None, 90), ("a b", None), ("a b", 20), (" ", 36)]
+    df = spark.createDataFrame([(t, (40, 300, 80, 300), n) for t, n in rows], "text string, zone struct<left:int,width:int,top:int,height:int>, largest int")
+    got = [r.f["size"] for r in df.select(layout.fit_headline(F.col("text"), FONT, F.col("zone"), F.col("largest")).alias("f")).collect()]
+    assert got == [36, 36, 36, 36]
+
+
+def test_headlines_are_dealt_to_all_cores(spark):
+    from mediaspan.plans import headlines
+
+    assert headlines.headline_layout(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_zones_and_places(spark):
     rows = [("right", 600, 300), ("right", None, None), ("right", 20, 300), ("left", 30, 280), ("left", None, None), ("left", 30, None), ("left", 1_200, 500)]
     df = spark.createDataFrame(rows, "side string, x int, w int")
