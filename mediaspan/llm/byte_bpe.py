@@ -1,7 +1,7 @@
 """Byte-level BPE: Spark's higher-order functions fold ranked merges over the byte arrays of distinct words.
 
 Words are counted over all documents first; the most frequent (FREQUENT at most) are folded once and broadcast. Then each task turns a block of documents into one
-row: its other distinct words as arrays of byte ids, every document as indexes of words, and the rank map as a table of id pairs. The fold runs in the JVM on the row's
+row: its other distinct words as the first states of their folds, every document as indexes of words, and the rank map as a table of id pairs. The fold runs in the JVM on the row's
 words; ids of documents are then gathered from the folded words, and decoding takes the ids' binary pieces and concatenates them. Only the counts are shuffled.
 """
 
@@ -9,13 +9,12 @@ from __future__ import annotations
 
 import base64
 from array import array as numbers
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +22,9 @@ from pyspark.sql import functions as F
 from .shared import stash
 
 #: Characters of text in a block; a longer text is a block of its own.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_000_000
+#: Stretches of text that are kept as Python strings before they go to Arrow; words whose states are made at once.
+STRETCHES, STATES = 50_000, 20_000
 #: Words that are folded once and broadcast, at most; words of a block of these.
 FREQUENT, FREQUENT_BLOCK = 250_000, 20_000
 #: Words of more bytes are merged in the task (the fold takes time in the square of the length).
@@ -44,6 +45,14 @@ class Vocabulary:
             self.pieces[rank] = piece
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.table, self.shift = self._rank_map()
+        # pieces that are whole characters, and their ranks
+        texts = {}
+        for piece, rank in self.ranks.items():
+            try:
+                texts[piece.decode()] = rank
+            except UnicodeDecodeError:
+                pass
+        self.names, self.name_ranks = pa.array(list(texts), pa.string()), np.array(list(texts.values()), np.int64)
 
     def _rank_map(self) -> tuple[np.ndarray, np.ndarray]:
         """The pairs (a, b) whose pieces make a piece: its id is in slot ``shift[a] + b``, as ``id << ID_BITS | a``.
@@ -100,61 +109,100 @@ def _pair(a: str, b: str) -> str:
 
 
 def folded(end: int) -> Column:
-    """SQL: the arrays of ids in ``words`` after their ranked merges by the rank map in ``ranks`` and ``shift``.
+    """SQL: the arrays of ids in ``words`` (``states``) after their ranked merges by the rank map in ``ranks`` and ``shift``.
 
-    Arrays that need merges begin and end with the id ``end``; the others stay. The state has one number for each id: the rank of its pair with
+    Arrays that need merges begin with the pair of the id ``end``; the others stay. The state has one number for each id: the rank of its pair with
     the next id, then the id. Each step takes the least number, the leftmost of equals (place p): it gives way to the new id, whose pairs with
     both neighbours are looked up.
     """
     left, new, right = f"int(s[p - 2] & {MASK})", f"int(shiftright(s[p - 1], {ID_BITS}))", f"int(s[p + 1] & {MASK})"
     merged = f"concat(slice(s, 1, p - 2), array({_pair(left, new)}, {_pair(new, right)}), slice(s, p + 2, size(s)))"
     step = f"transform(array(int(array_position(s, array_min(s)))), p -> {merged})[0]"
-    first = f"zip_with(w, slice(w, 2, size(w)), (a, b) -> {_pair('a', 'b')})"
-    fold = f"aggregate(sequence(4, size(w)), {first}, (s, k) -> if(array_min(s) < {NONE << ID_BITS}, {step}, s), s -> transform(slice(s, 2, size(s) - 2), x -> int(x & {MASK})))"
-    return F.expr(f"transform(words, w -> if(w[0] = {end}, {fold}, w))")
+    fold = f"aggregate(sequence(4, size(w)), w, (s, k) -> if(array_min(s) < {NONE << ID_BITS}, {step}, s), s -> transform(slice(s, 2, size(s) - 2), x -> x & {MASK}))"
+    return F.expr(f"transform(words, w -> if(w[0] = {(NONE << ID_BITS) + end}, {fold}, w))")
 
 
 def _lists(values: np.ndarray, edges: list[int] | np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.asarray(edges, np.int32)), pa.array(values))
 
 
-def _to_fold(words: Iterable[str], voc: Vocabulary) -> list[list[int]]:
-    """For each word its id, if it is a piece; its merges, if it is long; else its byte ids between two ids that mark the ends, for the fold."""
-    out, end = [], len(voc.pieces)
-    for word in words:
-        raw = word.encode()
-        rank = voc.ranks.get(raw)
-        out.append([rank] if rank is not None else voc.merge(raw) if len(raw) > LONG_WORD else [end, *voc.bytes[np.frombuffer(raw, np.uint8)].tolist(), end])
-    return out
-
-
-def _nested(lists: list[list[int]]) -> pa.Array:
-    cuts = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-    return _lists(np.fromiter(chain.from_iterable(lists), np.int32, cuts[-1]), cuts)
+def _ends(widths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])
+
+
+def _taken(begins: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """The places begins[i], begins[i] + 1, ... (widths[i] of them) for every i, one after another."""
+    ends = _ends(widths)
+    return np.arange(ends[-1]) + np.repeat(begins - ends[:-1], widths)
+
+
+def states(words: pa.Array, voc: Vocabulary, names: pa.Array | None = None, ids: np.ndarray | None = None, cuts: np.ndarray | None = None) -> pa.Array:
+    """For each word its id, if it is a piece; the ids of the frequent word (``names``) that it is; its merges, if it is long; else the first state of its fold: byte ids between two ids
+    that mark the ends, each with the rank of its pair with the next one."""
+    if len(words) > STATES:
+        return pa.concat_arrays([states(words.slice(k, STATES), voc, names, ids, cuts) for k in range(0, len(words), STATES)])
+    end, no = len(voc.pieces), np.int64(NONE << ID_BITS)
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64) if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    size = np.diff(offsets)
+    find = lambda table: pc.fill_null(pc.index_in(words, value_set=table), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    piece = find(voc.names)
+    known = find(names) if names is not None and len(names) else np.full(len(words), -1, np.int64)
+    is_piece = piece >= 0
+    is_known = ~is_piece & (known >= 0)
+    is_long = ~is_piece & ~is_known & (size > LONG_WORD)
+    to_fold = ~(is_piece | is_known | is_long)
+    merges = {int(k): voc.merge(data[offsets[k] : offsets[k + 1]].tobytes()) for k in np.flatnonzero(is_long)}
+    width = np.where(to_fold, size + 2, 1)
+    if is_known.any():
+        width[is_known] = np.diff(cuts)[known[is_known]]
+    for k, found in merges.items():
+        width[k] = len(found)
+    at = _ends(width)
+    out = np.empty(at[-1], np.int64)
+    out[at[:-1][is_piece]] = voc.name_ranks[piece[is_piece]]
+    if is_known.any():
+        out[_taken(at[:-1][is_known], width[is_known])] = ids[_taken(cuts[known[is_known]], width[is_known])]
+    for k, found in merges.items():
+        out[at[k] : at[k + 1]] = found
+    if to_fold.any():
+        own = size[to_fold]
+        row = np.full(int(own.sum()) + 2 * len(own) + 1, end, np.int64)
+        row[_taken(_ends(own + 2)[:-1] + 1, own)] = voc.bytes[data[_taken(offsets[:-1][to_fold], own)]]
+        a, slot = row[:-1], voc.table[voc.shift[row[:-1]] + row[1:]]
+        out[_taken(at[:-1][to_fold], own + 2)] = np.where((slot & MASK) == a, slot, no + a)
+    return _lists(out, at)
 
 
 def frequent_words(docs: DataFrame, known: Broadcast, pattern: str, text_col: str, most: int = FREQUENT) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(words, ids, where each word's ids begin) of the words that come at least 2**k times in all texts, by the least k >= 1 that leaves at most ``most``; pieces are left out."""
+    """(words, ids, where each word's ids begin) of the words that come at least 2**k times in all texts, by the least k >= 1 that leaves at most ``most``; pieces are left out.
+
+    What stands between single spaces is counted, and what comes more than once is cut into words, as if a space stood before it. A word that only stands otherwise is not found; it is folded where it is.
+    """
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spaced = pc.match_substring_regex(known.value.names, "^ ")
+        pieces = pc.utf8_slice_codeunits(known.value.names.filter(spaced), 1)
+        for part in parts:
+            found = pc.value_counts(pc.list_flatten(pc.split_pattern(part.column(0).fill_null(""), " ")))
+            said, n = found.field(0), found.field(1)
+            wanted = pc.and_(pc.invert(pc.is_in(said, value_set=pieces)), pc.less_equal(pc.binary_length(said), LONG_WORD))
+            yield pa.RecordBatch.from_arrays([said.filter(wanted), n.filter(wanted)], ["said", "n"])
+
+    def matches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         voc, find = known.value, regex.compile(pattern).findall
-
-        def batch() -> pa.RecordBatch:
-            words = [w for w in seen if w.encode() not in voc.ranks]
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
-
-        seen: Counter = Counter()
         for part in parts:
-            for text in part.column(0):
-                seen.update(find(text.as_py() or ""))
-                if len(seen) > most:
-                    yield batch()
-                    seen = Counter()
-        yield batch()
-
-    counts = docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+            words, counts = [], []
+            for said, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                own = [w for w in find(f" {said}") if w.encode() not in voc.ranks]
+                words += own
+                counts += [n] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["word", "n"])
+
+    said = docs.select(text_col).mapInArrow(count, "said string, n long").groupBy("said").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = said.mapInArrow(matches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stash(counts, "counts")
     powers = {r["k"]: r["w"] for r in counts.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("w")).collect()}  # 63 rows at most
     k = next(k for k in range(1, 65) if sum(w for p, w in powers.items() if p >= k) <= most)
@@ -166,10 +214,10 @@ def frequent_words(docs: DataFrame, known: Broadcast, pattern: str, text_col: st
             for at in range(0, len(part), FREQUENT_BLOCK):
                 words = part.column(0).slice(at, FREQUENT_BLOCK)
                 one = pa.array([0, len(words)], pa.int32())
-                columns = [pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, _nested(_to_fold(words.to_pylist(), voc))), _lists(voc.table, [0, SLOTS]), _lists(voc.shift, [0, len(voc.shift)])]
+                columns = [pa.ListArray.from_arrays(one, words), pa.ListArray.from_arrays(one, states(words, voc)), _lists(voc.table, [0, SLOTS]), _lists(voc.shift, [0, len(voc.shift)])]
                 yield pa.RecordBatch.from_arrays(columns, ["names", "words", "ranks", "shift"])
 
-    rows = counts.where(f"n >= {2**k}").select("word").mapInArrow(block, "names array<string>, words array<array<int>>, ranks array<bigint>, shift array<int>")
+    rows = counts.where(f"n >= {2**k}").select("word").mapInArrow(block, "names array<string>, words array<array<bigint>>, ranks array<bigint>, shift array<int>")
     found = rows.select(F.explode(F.arrays_zip("names", folded(end).alias("ids"))).alias("x")).select(F.col("x.names").alias("word"), F.col("x.ids").alias("ids")).toArrow()  # ``most`` rows
     ids = found["ids"].combine_chunks()
     cuts = np.asarray(ids.offsets.to_numpy(), np.int64) if len(ids) else np.zeros(1, np.int64)
@@ -179,7 +227,8 @@ def frequent_words(docs: DataFrame, known: Broadcast, pattern: str, text_col: st
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str = "doc_id", text_col: str = "text", check: bool = False) -> DataFrame:
     """Every row: id, ids (binary, little-endian unsigned 32-bit), n_tokens; with ``check`` also decoded, the ids decoded in the task that made them.
 
-    Each match of ``pattern`` is encoded by itself, as a whole if it is a piece; no special tokens. Frequent words are folded once (``frequent_words``), the others in each block. Null texts are empty and empty texts have no ids;
+    Each match of ``pattern`` is encoded by itself, as a whole if it is a piece; no special tokens. The pattern's matches have white space only at their start or are nothing else, and look no further
+    than to the end of a run of it. Frequent words are folded once (``frequent_words``), the others in each block. Null texts are empty and empty texts have no ids;
     rows that repeat come back as often; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -190,25 +239,40 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        voc, find = known.value, regex.compile(pattern).findall
+        voc, find, cut = known.value, regex.compile(pattern).findall, regex.compile(r"\s*\S+|\s+").findall
         names, flat, begins = common.value
-        place = {w: i for i, w in enumerate(names.to_pylist())}
         for batch in parts:
             ids, texts = batch.column(0), batch.column(1)
             at = 0
             while at < len(texts):
-                index: dict[str, int] = {}
-                codes, edges, chars, begin = numbers("i"), [0], 0, at
+                # no match begins in one run of white space and what follows it and ends in another, nor looks beyond, so each such stretch is matched once for a block
+                stretches, own, counts, chars, begin = [], [], [], 0, at
                 while at < len(texts) and (at == begin or chars < BLOCK_CHARS):
                     text = texts[at].as_py() or ""
+                    found = cut(text)
                     chars += len(text)
-                    codes.extend([index.setdefault(x, len(index)) for x in find(text)])
-                    edges.append(len(codes))
+                    own += found
+                    counts.append(len(found))
+                    if len(own) > STRETCHES:
+                        stretches.append(pa.array(own, pa.string()))
+                        own = []
                     at += 1
-                folds = [flat[begins[k] : begins[k + 1]] if (k := place.get(w)) is not None else _to_fold((w,), voc)[0] for w in index]
-                words = _nested(folds)
+                coded = pa.concat_arrays([*stretches, pa.array(own, pa.string())]).dictionary_encode()
+                index: dict[str, int] = {}
+                codes, cuts = numbers("i"), [0]
+                for k in range(0, len(coded.dictionary), STRETCHES):
+                    for stretch in coded.dictionary.slice(k, STRETCHES).to_pylist():
+                        codes.extend([index.setdefault(x, len(index)) for x in find(stretch)])
+                        cuts.append(len(codes))
+                of, cuts = coded.indices.to_numpy(zero_copy_only=False), np.array(cuts, np.int64)
+                width = np.diff(cuts)[of]
+                edges = _ends(width)[_ends(np.array(counts, np.int64))]
+                codes = (np.frombuffer(codes, np.int32) if codes else np.zeros(0, np.int32))[_taken(cuts[:-1][of], width)]
+                words = pa.array(list(index), pa.string())
+                del coded, of, width, index, stretches, own
+                words = states(words, voc, names, flat, begins)
                 one = pa.array([0, at - begin], pa.int32())
-                columns = [pa.ListArray.from_arrays(one, ids.slice(begin, at - begin)), pa.ListArray.from_arrays(one, _lists(np.frombuffer(codes, np.int32) if codes else np.zeros(0, np.int32), edges)), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), _lists(voc.table, [0, SLOTS]), _lists(voc.shift, [0, len(voc.shift)])]
+                columns = [pa.ListArray.from_arrays(one, ids.slice(begin, at - begin)), pa.ListArray.from_arrays(one, _lists(codes, edges)), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), _lists(voc.table, [0, SLOTS]), _lists(voc.shift, [0, len(voc.shift)])]
                 yield pa.RecordBatch.from_arrays(columns, ["ids", "codes", "words", "ranks", "shift"])
 
     def gather(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +295,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, id_col: str =
                         columns.append(joined(tokens, ends, pieces))
                     yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "n_tokens", "decoded"][: len(columns)])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(blocks, f"ids array<{kind}>, codes array<array<int>>, words array<array<int>>, ranks array<bigint>, shift array<int>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(blocks, f"ids array<{kind}>, codes array<array<int>>, words array<array<bigint>>, ranks array<bigint>, shift array<int>")
     rows = rows.select("ids", "codes", folded(end).alias("words"))
     return rows.mapInArrow(gather, f"id {kind}, ids binary, n_tokens long" + ", decoded binary" * check).withColumnRenamed("id", id_col)
 

@@ -198,3 +198,39 @@ def test_bpe_of_repeated_long_and_no_rows(spark):
     out = byte_bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary, pattern, check=True).collect()
     assert Counter((r.doc_id, hashlib.sha256(bytes(r.decoded)).hexdigest()) for r in out) == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
     assert byte_bpe.encode(spark.createDataFrame([], "doc_id long, text string"), vocabulary, pattern).count() == 0
+
+
+def test_bpe_cuts_at_white_space_of_every_kind(spark):
+    """Texts are matched in stretches of white space and what follows; the ids are those of whole texts."""
+    import random
+
+    import public_tokenizers
+    import tiktoken
+    from tiktoken.load import load_tiktoken_bpe
+
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    rng = random.Random(8)
+    signs = [" ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", "　", "a", "Qzx", "é", "12", "٣", "!", "'s", "'", "_", "​", "\x00", "𝒳", "中"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(400)] + [" ", "\n \n", "x \n", "x" * 300 + " y", None]
+    vocabulary, pattern = byte_bpe.tokenizer()
+    out = byte_bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), vocabulary, pattern, check=True).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        assert np.frombuffer(r.ids, "<u4").tolist() == plain.encode_ordinary(texts[r.doc_id] or ""), texts[r.doc_id]
+        assert bytes(r.decoded) == (texts[r.doc_id] or "").encode()
+
+
+def test_bpe_states_are_made_for_many_words_at_once():
+    import pyarrow as pa
+
+    vocabulary, _ = byte_bpe.tokenizer()
+    end, none = len(vocabulary.pieces), byte_bpe.NONE << byte_bpe.ID_BITS
+    words = ["a", " qzxw", "ü" * 200, " known", ""]
+    got = byte_bpe.states(pa.array(words), vocabulary, pa.array(["other", " qzxw"]), np.array([1, 2, 3], np.int32), np.array([0, 1, 3])).to_pylist()
+    assert got[:3] == [[vocabulary.ranks[b"a"]], [2, 3], vocabulary.merge(words[2].encode())]
+    state = byte_bpe.states(pa.array([" qzxw"]), vocabulary).to_pylist()[0]
+    ids = [end, *(int(vocabulary.bytes[b]) for b in b" qzxw"), end]
+    pair = lambda a, b: vocabulary.ranks.get(vocabulary.pieces[a] + vocabulary.pieces[b]) if max(a, b) < end else None
+    assert state == [(r << byte_bpe.ID_BITS) + a if (r := pair(a, b)) is not None else none + a for a, b in zip(ids, ids[1:])] + [none + end]
+    many = pa.array([f" w{k}q" for k in range(byte_bpe.STATES + 5)])
+    assert byte_bpe.states(many, vocabulary).slice(byte_bpe.STATES).to_pylist() == byte_bpe.states(many.slice(byte_bpe.STATES), vocabulary).to_pylist()
