@@ -21,6 +21,8 @@ from .shared import stash
 SAMPLE, VOCABULARY = 4_000, 50_000
 #: Tokens of a sentence at most; a longer one is cut there.
 SENTENCE = 48
+#: Tokens of the fit's sample that are worked on at once (some 150 bytes each on the driver).
+FIT_TOKENS = 200_000
 #: Score from which a document is called toxic, and marginal from which a token adds to its score.
 THRESHOLD, FAINT = 0.3, 0.2
 _CUTS = BLANKS | separators(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789")
@@ -41,6 +43,15 @@ def sentences(w: Words) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def parts(edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(k, to) such that the tokens from ``edges[k]`` to ``edges[to]`` are FIT_TOKENS at most, or those of one sentence or text."""
+    k = 0
+    while k < len(edges) - 1:
+        to = max(k + 1, int(np.searchsorted(edges, edges[k] + FIT_TOKENS, "right")) - 1)
+        yield k, to
+        k = to
+
+
 class Field:
     """Two-state chain: ``words`` (sorted hashes) with weights for state 1, ``bias``, 2x2 ``moves``; ``calibration`` of document scores."""
 
@@ -82,21 +93,26 @@ class Field:
         return (forward * backward)[:, 1], pairs, logs
 
     def fit(self, known: np.ndarray, begin: np.ndarray, labels: np.ndarray, rounds: int = 30, rate: float = 0.3, ridge: float = 0.02) -> None:
-        """Adam on the penalised log-likelihood of the token labels."""
+        """Adam on the penalised log-likelihood of the token labels; a gradient is summed over parts of whole sentences."""
         n = max(1, int(labels.sum()))
-        inner = np.ones(len(known), bool)
-        inner[begin] = False
-        at = np.flatnonzero(inner)
-        seen = np.zeros((2, 2))
-        np.add.at(seen, (labels[at - 1], labels[at]), 1)
+        edges = np.append(begin, len(known))
+        runs = [(slice(edges[k], edges[to]), begin[k:to] - begin[k]) for k, to in parts(edges)]
+        seen = np.zeros(4)
+        for own, starts in runs:
+            moves = 2 * labels[own][:-1].astype(np.int64) + labels[own][1:]
+            seen += np.bincount(np.delete(moves, starts[1:] - 1), minlength=4)
+        seen = seen.reshape(2, 2)
         size = len(self.weights)
         theta = np.concatenate([self.weights, [self.bias], self.moves.ravel()])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for k in range(1, rounds + 1):
-            p, pairs, _ = self.marginals(known, begin)
-            gap = labels - p
-            words = np.bincount(known[known >= 0], gap[known >= 0], minlength=size)[:size]
-            grad = np.concatenate([words, [gap.sum()], (seen - pairs).ravel()]) / n - ridge * theta / n
+            words, gaps, pairs = np.zeros(size), 0.0, np.zeros((2, 2))
+            for own, starts in runs:
+                p, moves, _ = self.marginals(known[own], starts)
+                gap, good = labels[own] - p, known[own] >= 0
+                words += np.bincount(known[own][good], gap[good], minlength=size)[:size]
+                gaps, pairs = gaps + gap.sum(), pairs + moves
+            grad = np.concatenate([words, [gaps], (seen - pairs).ravel()]) / n - ridge * theta / n
             m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad**2
             theta = theta + rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.98**k)) + 1e-9)
             self.weights, self.bias, self.moves = theta[:size], float(theta[size]), theta[size + 1 :].reshape(2, 2)
@@ -189,20 +205,22 @@ def fit_field(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabula
                     yield pa.RecordBatch.from_arrays([pa.array([x]) if not isinstance(x, bytes) else pa.array([x], pa.binary()) for x in (int(ids[at + k]), int(toxic[at + k]), w.hashes[a:b].astype("<u8").tobytes(), own.astype("<i4").tobytes())], ["doc_id", "toxic", "words", "begin"])
 
     table = rows.mapInArrow(digest, "doc_id long, toxic long, words binary, begin binary").toArrow().sort_by("doc_id")
-    words = [np.frombuffer(x, "<u8") for x in table["words"].to_pylist()]
     toxic = table["toxic"].to_numpy()
-    sizes = np.array([len(x) for x in words], np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    hashes = np.concatenate(words) if words else np.zeros(0, _U)
-    begin = np.concatenate([np.frombuffer(x, "<i4") + a for x, a in zip(table["begin"].to_pylist(), first)]).astype(np.int64) if words else np.zeros(0, np.int64)
-    doc = np.repeat(np.arange(len(words)), sizes)
+    empty = np.zeros(0, np.int32)
+    known = [field.known(np.frombuffer(x.as_buffer(), "<u8")).astype(np.int32) for x in table["words"]]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in known])]).astype(np.int64)
+    known = np.concatenate([empty, *known])
+    begin = np.concatenate([empty, *[np.frombuffer(x.as_buffer(), "<i4") + a for x, a in zip(table["begin"], first)]]).astype(np.int64)
     bad = toxic == 1
-    if len(words) and 0 < bad.sum() < len(bad):
-        known = field.known(hashes)
+    if 0 < bad.sum() < len(bad):
         flagged = np.append((kept["share"].to_numpy()[order] >= 0.5) & (kept["odds"].to_numpy()[order] >= 4), False)
-        marks = (flagged[known] & (known >= 0) & bad[doc]).astype(np.int64)
-        field.fit(known, begin, marks)
-        field.calibrate(field.features(field.marginals(known, begin)[0], first), toxic.astype(float))
+        field.fit(known, begin, (flagged[known] & (known >= 0) & np.repeat(bad, np.diff(first))).astype(np.int8))
+        features = []
+        for k, to in parts(first):
+            own = slice(first[k], first[to])
+            p = field.marginals(known[own], begin[(begin >= first[k]) & (begin < first[to])] - first[k])[0]
+            features.append(field.features(p, first[k : to + 1] - first[k]))
+        field.calibrate(np.concatenate(features), toxic.astype(float))
     else:
         mean = float(np.clip(toxic.mean(), 0.01, 0.99)) if len(toxic) else 0.1
         field.calibration = np.array([np.log(mean / (1 - mean)), 0.0, 0.0])
