media_info: streams and format of a probe text are parsed once

Symptom: 15,000 probe texts took 7.2 JVM CPU seconds in warm local runs on 6 threads, GC 0.1; no Python, no exchange.
Evidence: The plan named the parse of the streams 52 times, all below a condition, where Spark doesn't share repeated expressions, and that of the format twice.
Fix: The streams are folded to the first video and audio stream, and what is described comes from the fold's end; the format's duration is named once.
Effect: at 1 GB of input CPU 3209 -> 323 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.04 -> 0.04 GB, longest task 368 -> 31 s, most memory of a task 0 -> 0 MB; at 6 GB of input CPU 14045 -> 1435 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.23 -> 0.23 GB, longest task 1302 -> 139 s, most memory of a task 0 -> 0 MB; with hot keys, at 1 GB of input CPU 1536 -> 319 s, shuffle 0.00 -> 0.00 GB, spill 0.00 -> 0.00 GB, read 0.04 -> 0.04 GB, longest task 176 -> 31 s, most memory of a task 0 -> 0 MB.

@@ -11,7 +11,6 @@ _STREAM = (
     "struct<codec_type: string, codec_name: string, width: string, height: string, r_frame_rate: string, avg_frame_rate: string, "
     "duration: string, sample_rate: string, channels: string, disposition: struct<attached_pic: string>>"
 )
-_SCHEMA = f"streams array<{_STREAM}>, format struct<duration: string>"
 
 
 def frame_rate(c: Column) -> Column:
@@ -22,17 +21,24 @@ def frame_rate(c: Column) -> Column:
 
 def media_info(raw: Column) -> Column:
     """First video stream (cover pictures are none) and first audio stream; the duration is the format's, else the longer stream's, else 0. Null for text that isn't JSON."""
-    got = F.from_json(raw, _SCHEMA)
-    streams = F.coalesce(got["streams"], F.array().cast(f"array<{_STREAM}>"))
-    first = lambda kind: F.try_element_at(F.filter(streams, lambda s: s["codec_type"] == kind), F.lit(1))
-    video, audio = first("video"), first("audio")
-    video = F.when(F.coalesce(video["disposition"]["attached_pic"], F.lit("0")) != "1", video)
-    long = lambda s: text.to_ms(F.nullif(s["duration"], F.lit("")))
+    # the streams are parsed once, as what is folded; named in each field, they would be parsed for each
+    streams = F.coalesce(F.from_json(raw, f"streams array<{_STREAM}>")["streams"], F.array().cast(f"array<{_STREAM}>"))
+    whole = F.from_json(raw, "format struct<duration: string>")["format"]
+    none = F.lit(None).cast(_STREAM)
+    first = lambda kind, got, s: F.coalesce(got[kind], F.when(s["codec_type"] == kind, s)).alias(kind)
+    long = lambda s: text.to_ms(s["duration"])
     number = lambda c: F.trim(c).try_cast("int")
-    info = F.struct(
-        video.isNotNull().alias("has_video"), audio.isNotNull().alias("has_audio"), F.coalesce(frame_rate(video["r_frame_rate"]), frame_rate(video["avg_frame_rate"])).alias("fps"),
-        number(video["width"]).alias("width"), number(video["height"]).alias("height"), video["codec_name"].alias("video_codec"), audio["codec_name"].alias("audio_codec"),
-        number(audio["sample_rate"]).alias("sample_rate"), number(audio["channels"]).alias("channels"),
-        F.coalesce(long(got["format"]), F.greatest(long(video), long(audio)), F.lit(0)).alias("duration_ms"), long(video).alias("video_ms"), long(audio).alias("audio_ms"),
-    )
+
+    def described(got: Column) -> Column:
+        video, audio = got["video"], got["audio"]
+        film = F.coalesce(video["disposition"]["attached_pic"], F.lit("0")) != "1"
+        shown = lambda c: F.when(film, c)
+        return F.struct(
+            (video.isNotNull() & film).alias("has_video"), audio.isNotNull().alias("has_audio"), shown(F.coalesce(frame_rate(video["r_frame_rate"]), frame_rate(video["avg_frame_rate"]))).alias("fps"),
+            shown(number(video["width"])).alias("width"), shown(number(video["height"])).alias("height"), shown(video["codec_name"]).alias("video_codec"), audio["codec_name"].alias("audio_codec"),
+            number(audio["sample_rate"]).alias("sample_rate"), number(audio["channels"]).alias("channels"),
+            F.coalesce(long(whole), F.greatest(shown(long(video)), long(audio)), F.lit(0)).alias("duration_ms"), shown(long(video)).alias("video_ms"), long(audio).alias("audio_ms"),
+        )
+
+    info = F.aggregate(streams, F.struct(none.alias("video"), none.alias("audio")), lambda got, s: F.struct(first("video", got, s), first("audio", got, s)), described)
     return F.when(F.try_parse_json(raw).isNotNull(), info)

@@ -1,9 +1,11 @@
 """Logs and probe texts are made and parsed once for all of a row's fields; odd texts give what they gave when each field had a parse of its own."""
 
+import json
 import re
 
 import pytest
 from mediaspan.functions import loudness
+from mediaspan.sources import probe
 from pyspark.sql import functions as F
 
 FIELDS = ("input_i", "input_tp", "input_lra", "input_thresh", "target_offset")
@@ -54,3 +56,23 @@ def test_stats_of_odd_blocks(spark):
         "{" + whole + ',"_broken":"x"}': (-14.2, -1.0, 3.0, -24.0, 0.0, None), "": (None, None, None, None, 0.0, "missing"), "[1]": (None, None, None, None, 0.0, "missing"),
     }
     assert [tuple(r) for r in values(spark, [*cases, None], loudness.stats)] == [*cases.values(), (None, None, None, None, 0.0, "missing")]
+
+
+def test_streams_are_parsed_once(spark):
+    text = plan(spark.createDataFrame([("{}",)], "c string").select(probe.media_info(F.col("c")).alias("i")))
+    assert text.count("from_json(StructField(streams") == text.count("from_json(StructField(format") == 1
+
+
+def test_probes_of_odd_texts(spark):
+    film = {"codec_type": "video", "codec_name": "h264", "width": " 7 ", "height": "x", "r_frame_rate": "0/0", "avg_frame_rate": "25/1", "duration": "1.2345"}
+    sound = {"codec_type": "audio", "codec_name": "aac", "sample_rate": 48000, "channels": "2", "duration": ""}
+    cover = {**film, "disposition": {"attached_pic": 1}}
+    nothing = (False, False, *[None] * 7, 0, None, None)
+    seen, heard = (True, False, 25.0, 7, None, "h264", None, None, None, 1234, 1234, None), (False, True, None, None, None, None, "aac", 48000, 2, 0, None, None)
+    cases = [
+        ({"streams": [film, cover, {**film, "width": 9}]}, seen), ({"streams": [sound, {**sound, "channels": 9}], "format": {"duration": ""}}, heard), ({"streams": [cover, film]}, nothing),
+        ({"streams": [film, sound], "format": {"duration": "2.5"}}, (True, True, 25.0, 7, None, "h264", "aac", 48000, 2, 2500, 1234, None)), ({"streams": [None, {"codec_type": None}, {}, sound]}, heard), ({"streams": None, "format": "x"}, nothing),
+        ({"streams": [1, film], "format": {"duration": "2"}}, (*nothing[:9], 2000, None, None)), ({"streams": {}, "format": {"duration": 3}}, (*nothing[:9], 3000, None, None)), (5, nothing), ([], nothing), (None, nothing),
+    ]
+    assert [tuple(r) for r in values(spark, [json.dumps(c) for c, _ in cases], probe.media_info)] == [want for _, want in cases]
+    assert values(spark, [None, "", " ", "{", '{"streams":[}'], probe.media_info) == [None] * 5
